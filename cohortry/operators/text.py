@@ -8,15 +8,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import NGram, StopWordsRemover
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.columns import col, token_count
 from cohortry.operators.profiling import detect_text_column, text_scores, vectorizer_choice
-from cohortry.session import cut_lineage, take_bounded
+from cohortry.session import cut_lineage, spread_out, take_bounded
 
 MIN_DOCUMENTS = 20
 MAX_TERMS = 20_000
@@ -75,7 +73,7 @@ def _weighted_terms(documents, key, text, stop_words, ngrams, min_df, max_terms,
     stops = english_stop_words() if stop_words is None else stop_words
     n_docs = documents.count()
     filled = documents.select(col(key).alias("id"), F.coalesce(col(text), F.lit("")).alias("_text"))
-    exploded = with_terms(filled, "_text", stops, ngrams).select("id", F.explode("terms").alias("term"))
+    exploded = with_terms(spread_out(filled), "_text", stops, ngrams).select("id", F.explode("terms").alias("term"))
     counts = exploded.groupBy("id", "term").agg(F.count("*").alias("tf")).persist(StorageLevel.MEMORY_AND_DISK)
     stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df)
     chosen = stats.orderBy(F.desc("cf"), "term").limit(max_terms)
@@ -128,7 +126,7 @@ def tfidf(
     rows = every.select(
         "id", F.transform(t, lambda x: x["term_id"]).alias("idx"), F.transform(t, lambda x: x["w"] / F.col("norm")).alias("val")
     )
-    return Corpus(cut_lineage(rows), vocabulary, n_docs, vocabulary.count())
+    return Corpus(spread_out(cut_lineage(rows)).persist(StorageLevel.MEMORY_AND_DISK), vocabulary, n_docs, vocabulary.count())
 
 
 # ---------------------------------------------------------------------------
@@ -171,12 +169,40 @@ def transposed_times(total: np.ndarray, idx, val, doc, dense: np.ndarray) -> Non
         total[sorted_idx[starts]] += np.add.reduceat(dense[doc[order]] * val[order][:, None], starts, axis=0)
 
 
+PART_SCHEMA = "b long, v binary"
+PART_ROWS = 32
+
+
+def matrix_parts(total: np.ndarray, touched: np.ndarray):
+    """The touched row blocks of a task's partial matrix, as raw bytes."""
+    hit = np.unique(np.flatnonzero(touched) // PART_ROWS)
+    for at in range(0, len(hit), 256):
+        some = hit[at : at + 256]
+        yield pd.DataFrame({"b": some, "v": [total[x * PART_ROWS : (x + 1) * PART_ROWS].tobytes() for x in some]})
+
+
 def summed_rows(parts: DataFrame, n: int, width: int) -> np.ndarray:
-    """Sum ``(i, v array)`` rows by i into an n x width matrix (bounded by the vocabulary)."""
+    """Sum partial matrices block by block into an n x width matrix (bounded by the vocabulary).
+
+    Each receiving task streams the partial blocks it owns into one accumulator.
+    """
+
+    def combine(batches):
+        held: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for b, v in zip(pdf["b"], pdf["v"]):
+                block = np.frombuffer(v, dtype=float)
+                if b in held:
+                    held[b] += block
+                else:
+                    held[b] = block.copy()
+        for b, block in held.items():
+            yield pd.DataFrame({"b": [b], "v": [block.tobytes()]})
+
     total = np.zeros((n, width))
-    done = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).toPandas()
-    if len(done):
-        total[done["i"].to_numpy(dtype=int)] = np.vstack(done["v"].to_numpy())
+    for row in parts.repartition("b").mapInPandas(combine, PART_SCHEMA).collect():
+        block = np.frombuffer(row["v"], dtype=float).reshape(-1, width)
+        total[row["b"] * PART_ROWS : row["b"] * PART_ROWS + len(block)] = block
     return total
 
 
@@ -204,12 +230,9 @@ def truncated_svd(corpus: Corpus, dims: int = SVD_DIMENSIONS, iterations: int =
                 for _, idx, val, doc, n in sparse_pieces(pdf):
                     transposed_times(total, idx, val, doc, times(idx, val, doc, n, shipped.value))
                     touched[idx] = True
-            rows = np.flatnonzero(touched)
-            for at in range(0, len(rows), 2_000):
-                some = rows[at : at + 2_000]
-                yield pd.DataFrame({"i": some, "v": list(total[some])})
+            yield from matrix_parts(total, touched)
 
-        out = summed_rows(corpus.rows.mapInPandas(task, "i long, v array<double>"), v, width)
+        out = summed_rows(corpus.rows.mapInPandas(task, PART_SCHEMA), v, width)
         shipped.unpersist()
         return out
 

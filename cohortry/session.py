@@ -47,3 +47,12 @@ def take_bounded(df: DataFrame, bound: int, what: str) -> list:
     if len(rows) > bound:
         raise BoundExceeded(f"{what}: more than {bound} rows")
     return rows
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """Give a heavy per-row computation at least one partition per core; only small inputs are reshuffled.
+
+    For scans and materialised tables, whose partition count is known without running anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
