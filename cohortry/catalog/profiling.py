@@ -101,17 +101,18 @@ def _(t: Tables):
 
 @query(
     "S11_stage_preview",
-    "SELECT 'engineered' AS stage, 1 AS iteration, c.column, n_rows, missing_pct, skew, head FROM ("
+    "SELECT 'engineered' AS stage, 1 AS iteration, c.column, n_rows, missing_pct, skew, array_to_string(head, '; ') AS head FROM ("
     + " UNION ALL ".join(
         f"""SELECT '{c}' AS column, count(*) AS n_rows, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100, 2) AS missing_pct,
-            {skew} AS skew, (SELECT list(CAST({c} AS VARCHAR) ORDER BY p_partkey) FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 8)) AS head FROM part"""
-        for c, skew in (("p_brand", "CAST(NULL AS DOUBLE)"), ("p_size", "round(skewness(p_size), 3)"), ("p_retailprice", "round(skewness(p_retailprice), 3)"))
+            {skew} AS skew, (SELECT list({c} ORDER BY p_partkey) FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 8)) AS head FROM part"""
+        for c, skew in (("p_brand", "CAST(NULL AS DOUBLE)"), ("p_size", "round(skewness(p_size), 3)"), ("p_type", "CAST(NULL AS DOUBLE)"))
     )
     + ") c",
 )
 def _(t: Tables):
-    df = t.part.select("p_partkey", "p_brand", "p_size", "p_retailprice")
-    return sinks.stage_preview(df, "engineered", 1, "p_partkey").where(F.col("column") != "p_partkey")
+    df = t.part.select("p_partkey", "p_brand", "p_size", "p_type")
+    out = sinks.stage_preview(df, "engineered", 1, "p_partkey").where(F.col("column") != "p_partkey")
+    return out.withColumn("head", F.array_join("head", "; "))
 
 
 @query(
@@ -214,13 +215,14 @@ def _(t: Tables):
     "P05_profile_hints",
     f"""SELECT {r('avg(abs(skewness))', 3)} AS mean_abs_skew,
         CASE WHEN avg(abs(skewness)) > 2 THEN 'hierarchical' WHEN avg(abs(skewness)) < 0.5 THEN 'kmeans' ELSE 'hierarchical' END AS hint,
-        list_filter([CASE WHEN bool_or(high_missing) THEN 'high_missing' END, CASE WHEN bool_or(high_cardinality) THEN 'high_cardinality' END,
+        array_to_string(list_filter([CASE WHEN bool_or(high_missing) THEN 'high_missing' END, CASE WHEN bool_or(high_cardinality) THEN 'high_cardinality' END,
           CASE WHEN count(*) FILTER (WHERE kind = 'numeric') < 5 THEN 'few_numeric' END,
-          CASE WHEN avg(abs(skewness)) > 3 THEN 'high_skew' END], lambda x: x IS NOT NULL) AS warnings
+          CASE WHEN avg(abs(skewness)) > 3 THEN 'high_skew' END], lambda x: x IS NOT NULL), ',') AS warnings
         FROM ({_profile_sql('documents')})""",
 )
 def _(t: Tables):
-    return rounded(profiling.profile_hints(profiling.column_profile(t.documents)), 3)
+    hints = profiling.profile_hints(profiling.column_profile(t.documents))
+    return rounded(hints.withColumn("warnings", F.array_join("warnings", ",")), 3)
 
 
 @query(
@@ -336,7 +338,7 @@ for _id, _role in ROLE_IDS.items():
 
 @query(
     "P14_resolved_roles",
-    """SELECT 'orders' AS source, 'o_orderkey' AS entity, 'o_orderdate' AS ts, 'o_totalprice' AS amount, 'o_orderstatus' AS category, CAST(0 AS BIGINT) AS n_ambiguous
+    """SELECT 'orders' AS source, 'o_orderkey' AS entity, 'o_orderdate' AS ts, 'o_custkey' AS amount, 'o_orderstatus' AS category, CAST(0 AS BIGINT) AS n_ambiguous
        FROM (SELECT count(*) FROM orders)
        UNION ALL SELECT 'part_numbers', 'p_size', NULL, 'p_size', 'p_size', 2 FROM (SELECT count(*) FROM part)""",
 )
@@ -351,11 +353,11 @@ def _(t: Tables):
 @query(
     "P16_grouping_columns",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", list_sort(list(DISTINCT {c})) AS \"values\" FROM part HAVING count(DISTINCT {c}) BETWEEN 2 AND 200" for c in ("p_name", "p_brand", "p_type")
+        f"SELECT '{c}' AS \"column\", array_to_string(list_sort(list(DISTINCT {c})), ',') AS \"values\" FROM part HAVING count(DISTINCT {c}) BETWEEN 2 AND 200" for c in ("p_name", "p_brand", "p_type")
     ),
 )
 def _(t: Tables):
-    return profiling.grouping_columns(t.part)
+    return profiling.grouping_columns(t.part).withColumn("values", F.array_join("values", ","))
 
 
 @query(
@@ -533,12 +535,14 @@ def _(t: Tables):
 
 @query(
     "C10_unit_rows",
-    f"""WITH u AS (SELECT vec_id, [CAST(x AS DOUBLE) for x in embedding] AS e FROM embeddings)
-        SELECT vec_id, [round(x / sqrt(list_sum([y * y for y in e])) + 3.7e-8, 5) for x in e] AS features FROM u""",
+    f"""WITH u AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+        n AS (SELECT vec_id, sqrt(sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS norm FROM u GROUP BY vec_id)
+        SELECT u.vec_id, CAST(pos AS INT) AS pos, {r('CAST(x AS DOUBLE) / norm', 5)} AS value FROM u JOIN n ON u.vec_id = n.vec_id""",
 )
 def _(t: Tables):
     df = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
-    return cleaning.unit_rows(df).withColumn("features", F.transform("features", lambda x: F.round(x + F.lit(3.7e-8), 5)))
+    long = cleaning.unit_rows(df).select("vec_id", F.posexplode("features").alias("pos", "value"))
+    return rounded(long.withColumn("pos", F.col("pos") + 1), 5)
 
 
 @query(
