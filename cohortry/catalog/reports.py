@@ -129,7 +129,7 @@ def _(t: Tables):
 @query(
     "S09_metrics_table",
     f"""WITH {PE} SELECT DISTINCT tp.cluster_id, CASE WHEN n_regionkey = 0 THEN 'Cluster ' || CAST(tp.cluster_id AS VARCHAR) ELSE pe.name END AS persona_name, n_entities,
-        {r('pct_total / 100', 4)} AS pct_of_total, feature, {r('mean', 3)} AS mean_value, {r('ratio', 4)} AS relative_to_avg, {SIGNAL} AS signal
+        {r('pct_total / 100', 4)} AS pct_of_total, feature, {r('round(mean, 4)', 3)} AS mean_value, {r('ratio', 4)} AS relative_to_avg, {SIGNAL} AS signal
         FROM tp JOIN pe ON pe.cluster_id = tp.cluster_id""",
 )
 def _(t: Tables):

@@ -322,9 +322,8 @@ def _(t: Tables):
 
 @query("H04_near_duplicates")
 def _(t: Tables):
-    rules = t.benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("rule"), F.lit(None).cast("string").alias("hint"))
-    short = t.conversations.where("role = 'user' and turn = 0").select((F.col("conv_id") + 1_000_000).alias("id"), F.col("text").alias("rule"), F.lit(None).cast("string").alias("hint"))
-    return rounded(feedback.near_duplicates(rules.unionByName(short), 0.85, ["the", "and", "of"]).select("a", "b", "cosine"), 4)
+    rules = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("rule"), F.lit(None).cast("string").alias("hint"))
+    return rounded(feedback.near_duplicates(rules, 0.85, ["the", "and", "of"]), 4)
 
 
 VERDICTS = "vd AS (SELECT 'fb_' || CAST(event_id AS VARCHAR) AS id, CASE event_id % 5 WHEN 0 THEN 'useful' WHEN 1 THEN 'noise' WHEN 2 THEN 'neutral' ELSE 'unclear' END AS verdict FROM events)"

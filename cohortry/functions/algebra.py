@@ -37,12 +37,12 @@ def constant_columns(df: DataFrame, columns: list[str]) -> set[str]:
     return {c for i, c in enumerate(columns) if row[i] or row[i] is None}
 
 
-def standardised_covariance(df: DataFrame, columns: list[str]) -> np.ndarray:
+def standardised_covariance(df: DataFrame, columns: list[str], flat: set[str] | None = None) -> np.ndarray:
     """Covariance of the standardised columns: the correlations, with zeros for constant columns."""
     matrix = correlation_matrix(df, columns)
-    flat = constant_columns(df, columns)
+    constant = constant_columns(df, columns) if flat is None else flat
     for i, c in enumerate(columns):
-        if c in flat:
+        if c in constant:
             matrix[i, :] = matrix[:, i] = 0.0
     return matrix
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.functions.columns import col, g1_skew, numeric_columns
+from cohortry.functions.moments import WIDE, Moments, column_moments
 from cohortry.functions.quantiles import exact_quantiles
 
 MAX_NULL_FRACTION = 0.5
@@ -117,11 +118,17 @@ def clean_loaded_table(df: DataFrame, text_column: str | None = None, raw_events
     return sanitize(df, protect, impute=None if raw_events else "median")
 
 
+def is_log_column(m: Moments, skew: float = LOG_SKEW) -> bool:
+    return m.n > 0 and m.low >= 0 and m.skew is not None and abs(m.skew) > skew
+
+
 def log_columns(df: DataFrame, columns: Iterable[str] | None = None, skew: float = LOG_SKEW) -> list[str]:
     """Non-negative columns whose bias-corrected skew exceeds the bound in size."""
     names = list(columns) if columns is not None else numeric_columns(df)
     if not names:
         return []
+    if len(names) > WIDE:
+        return [c for c, m in column_moments(df, names).items() if is_log_column(m, skew)]
     parts = [x for i, c in enumerate(names) for x in (F.min(col(c)).alias(f"lo{i}"), g1_skew(col(c).cast("double")).alias(f"s{i}"))]
     row = df.agg(*parts).first()
     return [c for i, c in enumerate(names) if row[f"lo{i}"] is not None and row[f"lo{i}"] >= 0 and row[f"s{i}"] is not None and abs(row[f"s{i}"]) > skew]
@@ -136,6 +143,8 @@ def standardise(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     names = list(columns)
     if not names:
         return df
+    if len(names) > WIDE:
+        return standardise_with(df, column_moments(df, names))
     parts = [x for i, c in enumerate(names) for x in (F.avg(col(c)).alias(f"m{i}"), F.stddev_pop(col(c)).alias(f"s{i}"))]
     row = df.agg(*parts).first()
     scaled = {}
@@ -145,6 +154,21 @@ def standardise(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.withColumns(scaled)
 
 
+def standardise_with(df: DataFrame, moments: dict[str, Moments]) -> DataFrame:
+    return df.withColumns({c: (col(c).cast("double") - F.lit(m.mean)) / F.lit(m.spread) for c, m in moments.items()})
+
+
+def scaled_columns(moments: dict[str, Moments], skew: float = LOG_SKEW) -> list:
+    """Log-if-skewed, then standardised, as expressions: both steps from one statistics pass."""
+    out = []
+    for c, m in moments.items():
+        if is_log_column(m, skew):
+            out.append((F.log1p(col(c).cast("double")) - F.lit(m.log_mean)) / F.lit(m.log_spread))
+        else:
+            out.append((col(c).cast("double") - F.lit(m.mean)) / F.lit(m.spread))
+    return out
+
+
 def unit_rows(vectors: DataFrame, column: str = "features") -> DataFrame:
     """L2-normalise an array column; zero rows stay zero."""
     norm = F.sqrt(F.aggregate(column, F.lit(0.0), lambda acc, x: acc + x * x))
@@ -153,12 +177,11 @@ def unit_rows(vectors: DataFrame, column: str = "features") -> DataFrame:
     ).drop("_norm")
 
 
-def prepare_matrix(df: DataFrame, columns: Iterable[str]) -> tuple[DataFrame, list[str]]:
+def prepare_matrix(df: DataFrame, columns: Iterable[str], moments: dict[str, Moments] | None = None) -> tuple[DataFrame, list[str]]:
     """Infinities out, empty columns out, remaining gaps filled with the median."""
     names = list(columns)
-    work = infinities_to_null(df, names)
-    counts = work.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)]).first()
-    alive = [c for i, c in enumerate(names) if counts[i]]
-    work = work.drop(*[c for c in names if c not in alive])
-    filled, _ = impute_missing(work, "median", alive)
-    return filled, alive
+    found = moments if moments is not None else column_moments(df, names)
+    alive = [c for c in names if found[c].n]
+    work = df.drop(*[c for c in names if c not in alive])
+    holed = [c for c in alive if found[c].nulls or found[c].infinities]
+    return (impute_missing(work, "median", holed)[0] if holed else work), alive

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.functions.columns import col, month_index, safe_name, string_columns, unique_names, whole_days
+from cohortry.functions.moments import column_moments
 from cohortry.functions.quantiles import HOT_GROUP_ROWS, exact_quantiles, group_medians
 from cohortry.session import MAX_PIVOT_VALUES, take_bounded
 
@@ -442,15 +443,11 @@ def matrix_gate(features: DataFrame, entity: str, min_features: int = MIN_FEATUR
     names = [c for c in features.columns if c != entity]
     if len(names) < min_features:
         return {"blocked": True, "n_features": len(names), "reason": f"Only {len(names)} features built; need >= {min_features}."}
-    ends = features.agg(*[x for i, c in enumerate(names) for x in (F.min(col(c)).alias(f"lo{i}"), F.max(col(c)).alias(f"hi{i}"))]).first()
+    ends = column_moments(features, names)
     # a third value strictly between the extremes proves more than two distinct values
-    third = features.agg(
-        *[
-            F.max(((col(c) != F.lit(ends[f"lo{i}"])) & (col(c) != F.lit(ends[f"hi{i}"]))).cast("int")).alias(f"t{i}")
-            for i, c in enumerate(names)
-        ]
-    ).first()
-    rich = sum(1 for i in range(len(names)) if third[f"t{i}"])
+    between = [((col(c) > F.lit(ends[c].low)) & (col(c) < F.lit(ends[c].high))).cast("int") for c in names]
+    flags = features.select(F.array(*between).alias("f")).agg(*[F.max(F.element_at("f", i + 1)).alias(f"t{i}") for i in range(len(names))]).first()
+    rich = sum(1 for i in range(len(names)) if flags[f"t{i}"])
     if rich == 0:
         return {"blocked": True, "n_features": len(names), "reason": "All features are binary or constant."}
     return {"blocked": False, "n_features": len(names), "n_multi_level": rich, "reason": ""}

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.algebra import (
     beta_tail,
-    correlation_matrix,
     dependent_columns,
     eigen_descending,
     standardised_covariance,
@@ -20,7 +19,8 @@ from cohortry.functions.algebra import (
     vif_from_correlation,
 )
 from cohortry.functions.columns import col, min_max_scaled, numeric_columns
-from cohortry.operators.cleaning import prepare_matrix, standardise
+from cohortry.functions.moments import column_moments
+from cohortry.operators.cleaning import prepare_matrix, standardise, standardise_with
 
 VIF_THRESHOLD = 10.0
 CORRELATION_THRESHOLD = 0.85
@@ -162,20 +162,28 @@ def remove_high_vif(
     min_features: int = 5,
     max_rounds: int = 200,
     rank_pass: bool = True,
+    covariance: np.ndarray | None = None,
+    moments: dict | None = None,
 ) -> tuple[list[str], list[str], dict[str, float]]:
     """(kept, removed in order, VIF of the kept).
 
     Two passes over the rows in total, however many rounds run: one for the
-    triangular factor, one for the correlations.
+    triangular factor, one for the correlations (none when ``covariance`` of the
+    standardised columns is at hand).
     """
     names, removed = list(columns), []
     if rank_pass and len(names) >= 2:
-        scaled = standardise(df.select(*[col(c).cast("double").alias(c) for c in names]), names)
+        body = df.select(*[col(c).cast("double").alias(c) for c in names])
+        scaled = standardise(body, names) if moments is None else standardise_with(body, {c: moments[c] for c in names})
         extra = dependent_columns(triangular_factor(scaled, names), names)
         if extra and len(names) - len(extra) >= min_features:
             removed += extra
             names = [n for n in names if n not in extra]
-    matrix = standardised_covariance(df, names) if names else np.zeros((0, 0))
+    if covariance is not None:
+        at = [list(columns).index(n) for n in names]
+        matrix = covariance[np.ix_(at, at)]
+    else:
+        matrix = standardised_covariance(df, names) if names else np.zeros((0, 0))
     alive = list(range(len(names)))
     vif: dict[str, float] = {}
     for _ in range(max_rounds + 1):
@@ -193,16 +201,19 @@ def remove_high_vif(
 
 def high_correlations(df: DataFrame, columns: list[str], threshold: float = CORRELATION_THRESHOLD) -> DataFrame:
     """Pairs with |r| at or above the threshold, 4 decimals, largest first."""
-    matrix = correlation_matrix(df, columns)
-    flat = {i for i in range(len(columns)) if not np.any(np.abs(np.delete(matrix[i], i)) > 0)}
-    rows = [
-        (columns[i], columns[j], round(abs(float(matrix[i, j])), 4))
-        for i in range(len(columns))
+    return df.sparkSession.createDataFrame(
+        correlated_pairs(standardised_covariance(df, columns), columns, threshold), "feature_a string, feature_b string, correlation double"
+    )
+
+
+def correlated_pairs(covariance: np.ndarray, columns: list[str], threshold: float = CORRELATION_THRESHOLD) -> list[tuple[str, str, float]]:
+    pairs = [
+        (a, columns[j], round(abs(float(covariance[i, j])), 4))
+        for i, a in enumerate(columns)
         for j in range(i + 1, len(columns))
-        if i not in flat and j not in flat and abs(matrix[i, j]) >= threshold
+        if covariance[i, i] > 0 and covariance[j, j] > 0 and abs(covariance[i, j]) >= threshold
     ]
-    rows.sort(key=lambda x: -x[2])
-    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, correlation double")
+    return sorted(pairs, key=lambda x: -x[2])
 
 
 def anova(df: DataFrame, columns: list[str], label: str, alpha: float = 0.05) -> DataFrame:
@@ -301,15 +312,21 @@ def select_features(
         kept = [c for c in names if c.startswith("emb_")] or names
         empty = spark.createDataFrame([], "rank int, feature string, pca_score double, recon_error double, combined_score double, vif double")
         return Selection(kept, empty, {}, [], [])
-    matrix, alive = prepare_matrix(df, names)
-    covariance = standardised_covariance(matrix, alive)
+    moments = column_moments(df, names)
+    matrix, alive = prepare_matrix(df, names, moments)
+    if any(moments[c].nulls or moments[c].infinities for c in alive):
+        moments = column_moments(matrix, alive)
+    covariance = standardised_covariance(matrix, alive, {c for c in alive if moments[c].constant})
     pca = pca_importance(covariance, alive)
     recon = network_reconstruction_error(matrix, alive) if nonlinear else reconstruction_error(covariance, alive)
     scores = spark.createDataFrame([(c, pca[c], recon[c]) for c in alive], "feature string, pca_score double, recon_error double")
     ranked = combined_rank(scores)
     order = [r["feature"] for r in ranked.orderBy("rank").collect()]
     wide = order[:PREFILTER] if len(order) > PREFILTER else alive
-    kept, removed, vif = remove_high_vif(matrix, wide, vif_threshold, min_features=MIN_SURVIVORS)
+    at = [alive.index(c) for c in wide]
+    kept, removed, vif = remove_high_vif(
+        matrix, wide, vif_threshold, min_features=MIN_SURVIVORS, covariance=covariance[np.ix_(at, at)], moments=moments
+    )
     vif_table = spark.createDataFrame([(n, float(v)) for n, v in vif.items()], "feature string, vif double")
     ranking = ranking_table(ranked, vif_table)
     out = [c for c in alive if c not in wide]
@@ -321,7 +338,10 @@ def select_features(
     if requested is not None:
         chosen = [c for c in requested if c in kept]
     else:
-        chosen = [r["feature"] for r in default_request(ranking, high_correlations(matrix, kept)).collect()]
+        at = [alive.index(c) for c in kept]
+        pairs = correlated_pairs(covariance[np.ix_(at, at)], kept)
+        table = spark.createDataFrame(pairs, "feature_a string, feature_b string, correlation double")
+        chosen = [r["feature"] for r in default_request(ranking, table).collect()]
     return Selection(chosen or kept, ranking, vif, removed, out)
 
 

@@ -69,7 +69,7 @@ MODELS = {
     "logistic_regression": "logistic", "logistic": "logistic", "knn": "neighbours", "svm": "kernel", "naive_bayes": "bayes",
 }
 NEIGHBOURS = 5
-FOURIER_FEATURES = 256
+FOURIER_FEATURES = 128
 
 
 def build_estimator(name: str, seed: int = 42, trees: int = 200):
@@ -77,13 +77,13 @@ def build_estimator(name: str, seed: int = 42, trees: int = 200):
     family = MODELS.get(str(name).lower(), "forest")
     shared = {"featuresCol": "features", "labelCol": "y", "predictionCol": "pred"}
     if family == "boosted":
-        return OneVsRest(classifier=GBTClassifier(featuresCol="features", maxIter=50, maxDepth=5, seed=seed), **shared)
+        return OneVsRest(classifier=GBTClassifier(featuresCol="features", maxIter=max(5, trees // 4), maxDepth=5, seed=seed), **shared)
     if family == "logistic":
         return LogisticRegression(maxIter=200, standardization=True, **shared)
     if family == "bayes":
         return NaiveBayes(modelType="gaussian", **shared)
     if family == "kernel":
-        return OneVsRest(classifier=LinearSVC(featuresCol="features", maxIter=100, regParam=1e-3), **shared)
+        return OneVsRest(classifier=LinearSVC(featuresCol="features", maxIter=20, tol=1e-4, regParam=1e-3), **shared)
     return RandomForestClassifier(numTrees=trees, maxDepth=10, seed=seed, **shared)
 
 
