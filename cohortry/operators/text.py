@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.columns import col, token_count
+from cohortry.functions.partials import PART_SCHEMA, matrix_parts, summed_rows
 from cohortry.operators.profiling import detect_text_column, text_scores, vectorizer_choice
 from cohortry.session import cut_lineage, spread_out, take_bounded
 
@@ -169,43 +170,6 @@ def transposed_times(total: np.ndarray, idx, val, doc, dense: np.ndarray) -> Non
         total[sorted_idx[starts]] += np.add.reduceat(dense[doc[order]] * val[order][:, None], starts, axis=0)
 
 
-PART_SCHEMA = "b long, v binary"
-PART_ROWS = 32
-
-
-def matrix_parts(total: np.ndarray, touched: np.ndarray):
-    """The touched row blocks of a task's partial matrix, as raw bytes."""
-    hit = np.unique(np.flatnonzero(touched) // PART_ROWS)
-    for at in range(0, len(hit), 256):
-        some = hit[at : at + 256]
-        yield pd.DataFrame({"b": some, "v": [total[x * PART_ROWS : (x + 1) * PART_ROWS].tobytes() for x in some]})
-
-
-def summed_rows(parts: DataFrame, n: int, width: int) -> np.ndarray:
-    """Sum partial matrices block by block into an n x width matrix (bounded by the vocabulary).
-
-    Each receiving task streams the partial blocks it owns into one accumulator.
-    """
-
-    def combine(batches):
-        held: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for b, v in zip(pdf["b"], pdf["v"]):
-                block = np.frombuffer(v, dtype=float)
-                if b in held:
-                    held[b] += block
-                else:
-                    held[b] = block.copy()
-        for b, block in held.items():
-            yield pd.DataFrame({"b": [b], "v": [block.tobytes()]})
-
-    total = np.zeros((n, width))
-    for row in parts.repartition("b").mapInPandas(combine, PART_SCHEMA).collect():
-        block = np.frombuffer(row["v"], dtype=float).reshape(-1, width)
-        total[row["b"] * PART_ROWS : row["b"] * PART_ROWS + len(block)] = block
-    return total
-
-
 @dataclass
 class Svd:
     components: np.ndarray  # terms x dims
