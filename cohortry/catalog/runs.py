@@ -12,8 +12,13 @@ from cohortry.catalog.base import Tables, query, r, rounded
 from cohortry.catalog.features import ROLES
 from cohortry.catalog.profiling import scratch
 from cohortry.functions.columns import month_index
-from cohortry.operators import feedback, runs
+from cohortry.functions.moments import column_moments
+from cohortry.operators import feedback, profiles, runs
+from cohortry.operators.cleaning import scaled_columns
+from cohortry.operators.clustering import kmeans
+from cohortry.plans.feature_plan import build_features
 from cohortry.plans.segmentation import Settings, segment_documents, segment_events
+from cohortry.session import cut_lineage
 from cohortry.streaming import eventlog
 
 # -- iterations: a run per order priority, an iteration per month ----------------------
@@ -58,6 +63,24 @@ def _(t: Tables):
     return rounded(runs.target_schedule(history), 3)
 
 
+@query("flagship_customer_segments")
+def _(t: Tables):
+    """Which customers behave alike, and what marks each group?"""
+    plan = [
+        {"builder": "group_aggregate", "params": {"windows": [12, "all"], "metrics": ["count", "sum"]}},
+        {"builder": "overall_aggregate", "params": {"windows": [12, "all"]}},
+        {"builder": "frequency_recency", "params": {"windows": [12, "all"]}},
+    ]
+    features = cut_lineage(build_features(t.orders, ROLES, plan))
+    names = [c for c in features.columns if c != "o_custkey"]
+    moments = column_moments(features, names)
+    scaled = F.array(*scaled_columns({c: moments[c] for c in names if not moments[c].constant}))
+    labels = kmeans(features.select(F.col("o_custkey").alias("id"), scaled.alias("features")), 4, restarts=2)
+    placed = features.withColumn("id", F.col("o_custkey")).join(labels, "id")
+    tops = profiles.top_features(profiles.cluster_profiles(placed, names))
+    return rounded(tops.select("cluster_id", "n_entities", "pct_total", "side", "rank", "feature", "mean", "ratio"), 4)
+
+
 QUICK = dict(max_iterations=2, min_passing=1, restarts=1, stability_repeats=1, trees=10)
 
 

@@ -19,7 +19,7 @@ from cohortry.functions.partials import PART_SCHEMA, matrix_parts, summed_rows
 from cohortry.functions.vectors import matrix_of, squared_distances
 from cohortry.sources.tables import sample_rows
 
-BLOB_ROWS = 4_096
+BLOB_ROWS = 2_048
 START_ROWS = 10_000
 
 
@@ -111,10 +111,14 @@ def sweep(vectors: DataFrame, fits: list[Fit], unit: bool = False, max_iter: int
     ``vectors`` carries id, features and masks.  With ``unit`` rows and centres
     are kept at unit length (cosine).
     """
-    packed = _packed(vectors, unit).persist(StorageLevel.MEMORY_AND_DISK)
-    packed.count()
-    tasks = packed.rdd.getNumPartitions()
     sc = vectors.sparkSession.sparkContext
+    packed = _packed(vectors, unit).persist(StorageLevel.MEMORY_AND_DISK)
+    blobs, tasks = packed.count(), packed.rdd.getNumPartitions()
+    if tasks < sc.defaultParallelism and blobs > tasks:  # small inputs arrive in few partitions
+        few, packed = packed, packed.repartition(min(blobs, sc.defaultParallelism)).persist(StorageLevel.MEMORY_AND_DISK)
+        packed.count()
+        few.unpersist()
+        tasks = min(blobs, sc.defaultParallelism)
     head = sample_rows(vectors.select("id", "features", "masks"), "id", n=START_ROWS).toPandas().sort_values("id")
     x0 = matrix_of(head)
     if unit:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.functions.columns import col, g1_skew, is_temporal, numeric_columns, string_columns, token_count
+from cohortry.functions.moments import column_moments
 from cohortry.functions.quantiles import exact_quantiles
 
 EXACT_DISTINCT_UP_TO = 1_000
@@ -57,27 +58,27 @@ def column_types(df: DataFrame, distinct: dict[str, int] | None = None) -> dict[
 def column_profile(df: DataFrame) -> DataFrame:
     """One row per column: kind, missing rate and flags, and the distribution of numeric columns.
 
-    A single aggregate over the table, turned long afterwards; the distribution
-    covers the first 50 numeric columns.
+    One pass gives all the moments; the distribution covers the first 50 numeric
+    columns.  As in the rest of the profile, NaN counts as missing.
     """
     kinds = column_types(df)
     texts = [c for c, k in kinds.items() if k == "categorical"]
     cards = distinct_counts(df, texts)
-    summarised = numeric_columns(df)[:SUMMARY_COLUMNS]
-    aggregates, shape = [], []
-    for i, name in enumerate(df.columns):
-        c = col(name)
-        fields = [F.lit(name).alias("column"), F.lit(kinds[name]).alias("kind"), F.avg(c.isNull().cast("double")).alias("missing")]
-        if name in summarised:
-            x = c.cast("double")
-            fields += [F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")]
-            fields.append(g1_skew(x).alias("skewness"))
-        else:
-            fields += [F.lit(None).cast("double").alias(n) for n in ("min", "max", "mean", "std", "skewness")]
-        fields.append(F.lit(cards.get(name, 0) > HIGH_CARDINALITY).alias("high_cardinality"))
-        aggregates.append(F.struct(*fields).alias(f"c{i}"))
-        shape.append(F.col(f"c{i}"))
-    long = df.agg(*aggregates).select(F.explode(F.array(*shape)).alias("p")).select("p.*")
+    numbers = numeric_columns(df)
+    found = column_moments(df, numbers)
+    others = [c for c in df.columns if c not in found]
+    gaps = df.agg(F.count("*").alias("n"), *[F.count(F.when(col(c).isNull(), 1)).alias(f"g{i}") for i, c in enumerate(others)]).first()
+    rows = []
+    for name in df.columns:
+        m = found.get(name)
+        missing = (m.nulls if m else gaps[f"g{others.index(name)}"]) / max(gaps["n"], 1)
+        numbers_of = (None,) * 5
+        if m and m.n and name in numbers[:SUMMARY_COLUMNS]:
+            std = math.sqrt(m.variance * m.n / (m.n - 1)) if m.n > 1 else None
+            numbers_of = (m.low, m.high, m.mean, std, m.skew)
+        rows.append((name, kinds[name], float(missing), *numbers_of, cards.get(name, 0) > HIGH_CARDINALITY))
+    schema = "column string, kind string, missing double, min double, max double, mean double, std double, skewness double, high_cardinality boolean"
+    long = df.sparkSession.createDataFrame(rows, schema)  # one row per column
     missing = F.round("missing", 4)
     return long.select(
         "column",

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -312,8 +313,9 @@ def select_features(
         kept = [c for c in names if c.startswith("emb_")] or names
         empty = spark.createDataFrame([], "rank int, feature string, pca_score double, recon_error double, combined_score double, vif double")
         return Selection(kept, empty, {}, [], [])
-    moments = column_moments(df, names)
-    matrix, alive = prepare_matrix(df, names, moments)
+    body = df.select(*[col(c) for c in names]).persist(StorageLevel.MEMORY_AND_DISK)
+    moments = column_moments(body, names)
+    matrix, alive = prepare_matrix(body, names, moments)
     if any(moments[c].nulls or moments[c].infinities for c in alive):
         moments = column_moments(matrix, alive)
     covariance = standardised_covariance(matrix, alive, {c for c in alive if moments[c].constant})
@@ -327,6 +329,7 @@ def select_features(
     kept, removed, vif = remove_high_vif(
         matrix, wide, vif_threshold, min_features=MIN_SURVIVORS, covariance=covariance[np.ix_(at, at)], moments=moments
     )
+    body.unpersist()
     vif_table = spark.createDataFrame([(n, float(v)) for n, v in vif.items()], "feature string, vif double")
     ranking = ranking_table(ranked, vif_table)
     out = [c for c in alive if c not in wide]
