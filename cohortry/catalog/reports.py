@@ -41,8 +41,8 @@ _long = " UNION ALL ".join(
 PR = f"""{CF}, lo AS ({_long}),
 pr AS (SELECT cluster_id, n_entities, round(n_entities * 100.0 / (SELECT count(*) FROM cf), 1) AS pct_total, feature, position, mean, coalesce(mean / nullif(g, 0), 1.0) AS relative FROM lo)"""
 TOP = f"""{PR}, rk AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY relative DESC, position) AS hi, row_number() OVER (PARTITION BY cluster_id ORDER BY relative, position) AS lw FROM pr),
-tp AS (SELECT cluster_id, n_entities, pct_total, 'above' AS side, hi AS rank, feature, mean, round(relative, 2) AS ratio FROM rk WHERE hi <= 10
-  UNION ALL SELECT cluster_id, n_entities, pct_total, 'below', lw, feature, mean, round(relative, 2) FROM rk WHERE lw <= 10)"""
+tp AS (SELECT cluster_id, n_entities, pct_total, 'above' AS side, hi AS rank, feature, mean, relative, round(relative, 2) AS ratio FROM rk WHERE hi <= 10
+  UNION ALL SELECT cluster_id, n_entities, pct_total, 'below', lw, feature, mean, relative, round(relative, 2) FROM rk WHERE lw <= 10)"""
 PE = f"""{TOP}, pe AS (SELECT n_nationkey AS cluster_id, n_name AS name, r_name AS region, n_regionkey, 5.0 + n_regionkey AS confidence,
   'Customers of ' || n_name || ' in ' || r_name || ' led by ' || (SELECT feature FROM tp WHERE tp.cluster_id = n_nationkey AND side = 'above' AND rank = 1)
     || ' then ' || (SELECT feature FROM tp WHERE tp.cluster_id = n_nationkey AND side = 'above' AND rank = 2) AS description
@@ -89,9 +89,10 @@ def _(t: Tables):
     return rounded(nation_profiles(t).select("cluster_id", "n_entities", "pct_total", "feature", "mean", "relative"), 3)
 
 
-@query("R02_top_features", f"WITH {TOP} SELECT cluster_id, side, CAST(rank AS INT) AS rank, feature, ratio FROM tp")
+@query("R02_top_features", f"WITH {TOP} SELECT cluster_id, side, CAST(rank AS INT) AS rank, feature, {r('relative', 5)} AS relative FROM tp")
 def _(t: Tables):
-    return profiles.top_features(nation_profiles(t)).select("cluster_id", "side", F.col("rank").cast("int").alias("rank"), "feature", "ratio")
+    tops = profiles.top_features(nation_profiles(t))
+    return rounded(tops.select("cluster_id", "side", F.col("rank").cast("int").alias("rank"), "feature", "relative"), 5)
 
 
 SIGNAL = "CASE WHEN ratio >= 2.0 THEN 'STRONG_ABOVE_2x' WHEN ratio >= 1.4 THEN 'ABOVE_1.4x' WHEN ratio >= 1.0 THEN 'MODERATE_ABOVE' WHEN ratio >= 0.6 THEN 'NEUTRAL' ELSE 'BELOW' END"

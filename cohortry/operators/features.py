@@ -132,6 +132,109 @@ def _pivoted(frame: EventFrame, per_group: DataFrame, column: str, outputs: list
     return per_group.groupBy(col(frame.entity).alias(frame.entity)).agg(*picks, *extra)
 
 
+def _group_expressions(frame: EventFrame, amount: Column, window, metrics: set[str]) -> dict[str, Column]:
+    """Conditional aggregates of one window, per (entity, category)."""
+    lab, hit = label_of(window), frame.inside(window)
+    x = F.when(hit, amount)
+    out = {f"_rows_{lab}": F.count(F.when(hit, 1)), f"_count_{lab}": F.count(x)}
+    if {"sum", "pct_sum"} & metrics:
+        out[f"_sum_{lab}"] = F.coalesce(F.sum(x), F.lit(0)).cast("double")
+    if "mean" in metrics:
+        out[f"_mean_{lab}"] = F.avg(x)
+    if "std" in metrics:
+        out[f"_std_{lab}"] = F.stddev_samp(x)
+    if "max" in metrics:
+        out[f"_max_{lab}"] = F.max(x)
+    if "freq" in metrics:
+        seen = F.when(hit, F.col("_ts"))
+        out[f"_freq_{lab}"] = F.count(x) / F.greatest(whole_days(F.max(seen), F.min(seen)), F.lit(1))
+    return out
+
+
+def group_features(frame: EventFrame, group_col: str, value_col: str, steps: list[dict]) -> tuple[DataFrame, list[list[str]]]:
+    """All category aggregates and trends over one (entity, category) grouping.
+
+    Each step is ``{"kind": "aggregate", categories, windows, metrics}`` or
+    ``{"kind": "trend", categories, base_window, compare_window}``.  Whatever the
+    steps ask for becomes one aggregate and one pivot; the names of each step's
+    features come back in step order.
+    """
+    plans, needed = [], {}
+    for step in steps:
+        values = _requested(frame, group_col, step.get("categories", "all"))
+        if step["kind"] == "trend":
+            windows, metrics = [step.get("base_window", 6), step.get("compare_window", 12)], ["count", "sum"]
+        else:
+            windows = list(dict.fromkeys(step.get("windows", [6, 12])))
+            metrics = [m for m in dict.fromkeys(METRIC_NAMES.get(m) for m in step.get("metrics", ["count", "sum", "mean"])) if m]
+        plans.append((step["kind"], values, windows, metrics))
+        if values:
+            for w in windows:
+                needed.setdefault(w, set()).update(metrics)
+    every = sorted({v for _, values, _, _ in plans for v in values})
+    names = unique_names(frame.categories(group_col))
+    if not needed:
+        return frame.events.select(frame.entity).distinct(), [[] for _ in steps]
+    asked = set().union(*needed.values())
+    shares = {m for m in ("count", "sum") if f"pct_{m}" in asked}
+    widest = F.lit(False)
+    for w in needed:
+        widest = widest | frame.inside(w)
+    rows = frame.events.where(widest)  # the widest window reaches the scan
+    if not shares:  # shares need the entity's total over all categories
+        rows = rows.where(col(group_col).isin(every))
+    keys = [frame.entity, group_col]
+    aggregates: dict[str, Column] = {}
+    for w, metrics in needed.items():
+        aggregates.update(_group_expressions(frame, col(value_col), w, metrics))
+    per_group = rows.groupBy(*[col(k).alias(k) for k in keys]).agg(*[e.alias(n) for n, e in aggregates.items()])
+    middles = [w for w, metrics in needed.items() if "median" in metrics]
+    if middles:
+        shaped = rows.where(col(group_col).isin(every)).select(
+            *keys, *[F.when(frame.inside(w), col(value_col)).alias(f"_x_{label_of(w)}") for w in middles]
+        )
+        medians = group_medians(shaped, keys, {f"_median_{label_of(w)}": f"_x_{label_of(w)}" for w in middles}, frame.hot_rows)
+        per_group = per_group.join(medians, keys, "left")
+
+    picks: dict[str, tuple[object, Column]] = {}
+    extra: dict[str, Column] = {}
+    final: list[dict[str, Column]] = []
+    for at, (kind, values, windows, metrics) in enumerate(plans):
+        shown: dict[str, Column] = {}
+        if kind == "trend" and values:
+            base, comp = label_of(windows[0]), label_of(windows[1])
+            both = (F.col(f"_rows_{base}") > 0) & (F.col(f"_rows_{comp}") > 0)
+            present = (F.col(f"_rows_{base}") > 0) | (F.col(f"_rows_{comp}") > 0)
+            extra[f"_known_{at}"] = F.max((present & col(group_col).isin(values)).cast("int"))
+            for v in values:
+                for m in ("count", "sum"):
+                    name = f"trend_{m}_{names[v]}"
+                    picks[f"_{at}_{name}"] = (v, F.when(both, F.col(f"_{m}_{base}") / (F.col(f"_{m}_{comp}") + 1)))
+                    shown[name] = F.when(F.col(f"_known_{at}") == 1, F.coalesce(F.col(f"_{at}_{name}"), F.lit(1.0)))
+        elif kind == "aggregate":
+            for w in windows:
+                lab = label_of(w)
+                for v in values:
+                    for m in metrics:
+                        name = f"{m}_{names[v]}_{lab}"
+                        if m.startswith("pct_"):
+                            base = m[4:]
+                            picks[f"_part_{name}"] = (v, F.col(f"_{base}_{lab}"))
+                            extra[f"_total_{base}_{lab}"] = F.sum(f"_{base}_{lab}")
+                            total = F.col(f"_total_{base}_{lab}")
+                            shown[name] = F.when(total != 0, F.col(f"_part_{name}") / total)
+                        else:
+                            picks[f"_pick_{name}"] = (v, F.when(F.col(f"_rows_{lab}") > 0, F.col(f"_{m}_{lab}")))
+                            shown[name] = F.col(f"_pick_{name}")
+        final.append(shown)
+    wide = _pivoted(frame, per_group, group_col, [(n, v, e) for n, (v, e) in picks.items()], [e.alias(n) for n, e in extra.items()])
+    columns: dict[str, Column] = {}
+    for shown in final:
+        for n, e in shown.items():
+            columns.setdefault(n, e)
+    return wide.select(frame.entity, *[e.alias(n) for n, e in columns.items()]), [list(shown) for shown in final]
+
+
 def group_aggregate(
     frame: EventFrame,
     group_col: str,
@@ -141,103 +244,18 @@ def group_aggregate(
     metrics=("count", "sum", "mean"),
 ) -> tuple[DataFrame, list[str]]:
     """Count, sum, mean, median, std, max, frequency and share per category and window."""
-    chosen = [m for m in dict.fromkeys(METRIC_NAMES.get(m) for m in metrics) if m]
-    values = _requested(frame, group_col, categories)
-    if not values or not chosen:
-        return frame.events.select(frame.entity).distinct(), []
-    names = unique_names(values)
-    shares = "pct_count" in chosen or "pct_sum" in chosen
-    rows = frame.events if shares else frame.events.where(col(group_col).isin(values))
-    keys = [frame.entity, group_col]
-    amount = col(value_col)
-    aggregates: dict[str, Column] = {}
-    for w in windows:
-        lab, hit = label_of(w), frame.inside(w)
-        x = F.when(hit, amount)
-        aggregates[f"_rows_{lab}"] = F.count(F.when(hit, 1))
-        aggregates[f"_count_{lab}"] = F.count(x)
-        if {"sum", "pct_sum"} & set(chosen):
-            aggregates[f"_sum_{lab}"] = F.coalesce(F.sum(x), F.lit(0)).cast("double")
-        if "mean" in chosen:
-            aggregates[f"_mean_{lab}"] = F.avg(x)
-        if "std" in chosen:
-            aggregates[f"_std_{lab}"] = F.stddev_samp(x)
-        if "max" in chosen:
-            aggregates[f"_max_{lab}"] = F.max(x)
-        if "freq" in chosen:
-            seen = F.when(hit, F.col("_ts"))
-            days = F.greatest(whole_days(F.max(seen), F.min(seen)), F.lit(1))
-            aggregates[f"_freq_{lab}"] = F.count(x) / days
-    per_group = rows.groupBy(*[col(k).alias(k) for k in keys]).agg(*[e.alias(n) for n, e in aggregates.items()])
-    if "median" in chosen:
-        shaped = rows.where(col(group_col).isin(values)).select(
-            *keys, *[F.when(frame.inside(w), amount).alias(f"_x_{label_of(w)}") for w in windows]
-        )
-        medians = group_medians(shaped, keys, {f"_median_{label_of(w)}": f"_x_{label_of(w)}" for w in windows}, frame.hot_rows)
-        per_group = per_group.join(medians, keys, "left")
-
-    outputs, order, totals = [], [], []
-    for w in windows:
-        lab = label_of(w)
-        for value in values:
-            for m in chosen:
-                name = f"{m}_{names[value]}_{lab}"
-                order.append(name)
-                if m in ("pct_count", "pct_sum"):
-                    continue
-                outputs.append((name, value, F.when(F.col(f"_rows_{lab}") > 0, F.col(f"_{m}_{lab}"))))
-            for m in ("count", "sum"):
-                if f"pct_{m}" in chosen:
-                    outputs.append((f"_part_{m}_{names[value]}_{lab}", value, F.col(f"_{m}_{lab}")))
-        for m in ("count", "sum"):
-            if f"pct_{m}" in chosen:
-                totals.append(F.sum(f"_{m}_{lab}").alias(f"_total_{m}_{lab}"))
-    wide = _pivoted(frame, per_group, group_col, outputs, totals)
-    for w in windows:
-        lab = label_of(w)
-        for m in ("count", "sum"):
-            if f"pct_{m}" in chosen:
-                total = F.col(f"_total_{m}_{lab}")
-                wide = wide.withColumns(
-                    {
-                        f"pct_{m}_{names[v]}_{lab}": F.when(total != 0, F.col(f"_part_{m}_{names[v]}_{lab}") / total)
-                        for v in values
-                    }
-                )
-    return wide.select(frame.entity, *order), order
+    step = {"kind": "aggregate", "categories": categories, "windows": windows, "metrics": metrics}
+    built, names = group_features(frame, group_col, value_col, [step])
+    return built, names[0]
 
 
 def group_trend(
     frame: EventFrame, group_col: str, value_col: str, categories="all", base_window=6, compare_window=12
 ) -> tuple[DataFrame, list[str]]:
     """Recent activity over longer activity, per category; 1.0 means no evidence of change."""
-    values = _requested(frame, group_col, categories)
-    if not values:
-        return frame.events.select(frame.entity).distinct(), []
-    names = unique_names(values)
-    base, comp = frame.inside(base_window), frame.inside(compare_window)
-    amount = col(value_col)
-    rows = frame.events.where(col(group_col).isin(values)).where(base | comp)
-
-    def total(hit: Column) -> Column:
-        return F.coalesce(F.sum(F.when(hit, amount)), F.lit(0)).cast("double")
-
-    per_group = rows.groupBy(col(frame.entity).alias(frame.entity), col(group_col).alias(group_col)).agg(
-        F.count(F.when(base, 1)).alias("_rb"),
-        F.count(F.when(comp, 1)).alias("_rc"),
-        F.count(F.when(base, amount)).alias("_nb"),
-        F.count(F.when(comp, amount)).alias("_nc"),
-        total(base).alias("_sb"),
-        total(comp).alias("_sc"),
-    )
-    both = (F.col("_rb") > 0) & (F.col("_rc") > 0)
-    outputs, order = [], []
-    for v in values:
-        outputs.append((f"trend_count_{names[v]}", v, F.when(both, F.col("_nb") / (F.col("_nc") + 1))))
-        outputs.append((f"trend_sum_{names[v]}", v, F.when(both, F.col("_sb") / (F.col("_sc") + 1))))
-        order += [f"trend_count_{names[v]}", f"trend_sum_{names[v]}"]
-    wide = _pivoted(frame, per_group, group_col, outputs)
-    return wide.select(frame.entity, *[F.coalesce(F.col(n), F.lit(1.0)).alias(n) for n in order]), order
+    step = {"kind": "trend", "categories": categories, "base_window": base_window, "compare_window": compare_window}
+    built, names = group_features(frame, group_col, value_col, [step])
+    return built, names[0]
 
 
 def group_streak(frame: EventFrame, group_col: str, categories="all") -> tuple[DataFrame, list[str]]:

@@ -62,7 +62,7 @@ def top_features(profiles: DataFrame, n: int = TOP_FEATURES, strict: bool = Fals
         )
     )
     return ranked.withColumn("_s", F.explode(sides)).select(
-        "cluster_id", "n_entities", "pct_total", "_s.side", "_s.rank", "feature", "position", "mean", F.round("relative", 2).alias("ratio")
+        "cluster_id", "n_entities", "pct_total", "_s.side", "_s.rank", "feature", "position", "mean", "relative", F.round("relative", 2).alias("ratio")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from cohortry.functions.columns import col, is_temporal
 from cohortry.operators.features import Roles
+from cohortry.operators.profiling import EXACT_DISTINCT_UP_TO, distinct_counts
 
 # name fragments per role (fixed values); 100 points for an exact match, 50 for a contained one
 ROLE_WORDS = {
@@ -33,10 +34,25 @@ ACCEPT = {"entity": 80, "timestamp": 80, "amount": 50, "category": 40}
 CANDIDATES_KEPT = 5
 
 
-def column_statistics(df: DataFrame, order: list[str], exact: bool = True, sample: int = 20) -> DataFrame:
+RATIO_STEPS = (0.50, 0.70, 0.90, 0.95)  # distinct ratios at which a score changes
+SKETCH_ERROR = 0.01
+
+
+def _distinct(df: DataFrame, names: list[str], exact: bool) -> dict[str, int]:
+    """Distinct values per column: sketched, and counted exactly where the sketch could change a decision."""
+    counts = distinct_counts(df, names)
+    rows = max(df.count(), 1)
+    for c in names:
+        near = any(abs(counts[c] / rows - step) <= 5 * SKETCH_ERROR for step in RATIO_STEPS)
+        if exact or (near and counts[c] > EXACT_DISTINCT_UP_TO):
+            counts[c] = df.select(col(c)).where(col(c).isNotNull()).distinct().count()  # one column at a time: no row expansion
+    return counts
+
+
+def column_statistics(df: DataFrame, order: list[str], exact: bool = False, sample: int = 20) -> DataFrame:
     """One row per column: distinct values and ratio, type flags, extremes, parsable share of the first values."""
-    count = F.count_distinct if exact else (lambda c: F.approx_count_distinct(c, 0.01))
     fields = [f for f in df.schema.fields if not f.name.startswith("_") and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    counts = _distinct(df, [f.name for f in fields], exact)
     parts = []
     for i, f in enumerate(fields):
         c = col(f.name)
@@ -50,7 +66,7 @@ def column_statistics(df: DataFrame, order: list[str], exact: bool = True, sampl
                 F.lit(isinstance(f.dataType, T.IntegralType)).alias("integer"),
                 F.lit(is_temporal(f.dataType)).alias("temporal"),
                 F.lit(isinstance(f.dataType, T.StringType)).alias("text"),
-                count(c).alias("n_distinct"),
+                F.lit(counts[f.name]).cast("long").alias("n_distinct"),
                 F.min(x).alias("low"),
                 F.max(x).alias("high"),
                 F.count("*").alias("n_rows"),
@@ -102,7 +118,7 @@ def role_scores(stats: DataFrame, entity: str | None = None, timestamp: str | No
     return every.withColumn("place", place).where(F.col("place") <= CANDIDATES_KEPT).select("role", "place", "column", "score")
 
 
-def resolve_roles(df: DataFrame, order: list[str], exact: bool = True, overrides: dict[str, str] | None = None) -> tuple[Roles, dict]:
+def resolve_roles(df: DataFrame, order: list[str], exact: bool = False, overrides: dict[str, str] | None = None) -> tuple[Roles, dict]:
     """Pick each role; ambiguous ones fall back to their best candidate and are reported."""
     measured = column_statistics(df, order, exact)
     stats = df.sparkSession.createDataFrame(measured.collect(), measured.schema)  # one row per column
