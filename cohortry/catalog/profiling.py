@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from cohortry.catalog.base import Tables, query, r, rounded
 from cohortry.operators import cleaning, profiling, roles
+from cohortry.session import ensure_checkpoint_dir
 from cohortry.sources import sinks, tables
 
 
 def scratch(t: Tables, label: str) -> str:
-    """A folder to write to: under the cluster's shared checkpoint folder when it names one."""
-    from cohortry.session import ensure_checkpoint_dir
-
-    root = ensure_checkpoint_dir(t.spark)
-    if root.startswith("file:"):
-        root = root[5:]
-    if "://" in root:
-        import uuid
-
-        return f"{root}/{label}-{uuid.uuid4().hex}"
-    folder = tempfile.mkdtemp(prefix=f"{label}-", dir=root)
-    atexit.register(shutil.rmtree, folder, True)
-    return folder
+    """A fresh folder name under the checkpoint folder, which every executor can reach."""
+    return f"{ensure_checkpoint_dir(t.spark)}/{label}-{uuid.uuid4().hex}"
 
 
 # -- sources and sinks --------------------------------------------------------

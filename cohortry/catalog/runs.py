@@ -340,7 +340,7 @@ def _(t: Tables):
     log = feedback.append(None, entries(t))
     action = F.when(F.col("type") == "global_rule", "keep").when(F.col("type") == "merge", "merge_into").otherwise("drop")
     kept, ledger = feedback.apply_decisions(log, log.select("id", action.alias("action")))
-    return kept.agg(F.count("*").alias("n_rules")).join(ledger.withColumn("_k", F.lit(1)), F.lit(True)).drop("_k")
+    return kept.agg(F.count("*").alias("n_rules"), F.lit(1).alias("_k")).join(ledger.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 @query("H04_near_duplicates")

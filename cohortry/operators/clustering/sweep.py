@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.partials import PART_SCHEMA, matrix_parts, summed_rows
+from cohortry.functions.quantiles import ONE_PASS_ROWS
 from cohortry.functions.vectors import matrix_of, squared_distances
 from cohortry.sources.tables import sample_rows
 
@@ -38,8 +39,11 @@ def with_masks(vectors: DataFrame, n: int, share: float, repeats: int, seed: int
     marks = [F.xxhash64("id", F.lit(seed + i)).cast("double") for i in range(repeats)]
     if not marks:
         return vectors.withColumn("masks", F.array().cast("array<boolean>"))
-    # exact order statistic up to a million rows, a millionth of the rows off beyond
-    cuts = vectors.agg(*[F.percentile_approx(m, F.lit(size / n), F.lit(1_000_000)).alias(f"c{i}") for i, m in enumerate(marks)]).first()
+    if n <= ONE_PASS_ROWS:  # a cut between two order statistics selects exactly ``size`` rows
+        picks = [F.percentile(m, F.lit((size - 0.5) / (n - 1))) for m in marks]
+    else:
+        picks = [F.percentile_approx(m, F.lit(size / n), F.lit(100_000)) for m in marks]
+    cuts = vectors.agg(*[p.alias(f"c{i}") for i, p in enumerate(picks)]).first()
     return vectors.withColumn("masks", F.array(*[m <= F.lit(cuts[i]) for i, m in enumerate(marks)]))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.columns import col, seeded_order
 from cohortry.functions.vectors import cluster_stats
-from cohortry.operators.selection import standardised_covariance
+from cohortry.functions.algebra import standardised_covariance
+from cohortry.sources.tables import sample_rows
 
 TOP_FEATURES = 10
 TOP_TERMS = 12
@@ -345,5 +346,5 @@ def pca_projection(df: DataFrame, entity: str, features: list[str], label: str =
             total = total + col(c) * F.lit(float(w))
         return total
 
-    picked = scaled.orderBy(seeded_order(col(entity), seed=seed), col(entity)).limit(sample)
+    picked = sample_rows(scaled, entity, n=sample, seed=seed)
     return picked.select(col(entity).alias("entity_id"), col(label).alias("cluster_id"), along(0).alias("x"), along(1).alias("y"))

@@ -15,7 +15,7 @@ from cohortry.operators.cleaning import log_columns, log_transform
 from cohortry.session import MAX_BLOCK_BYTES, MAX_CLUSTERS, cut_lineage, take_bounded
 
 F1_TARGET = {"tabular": 0.70, "text": 0.60}
-FOLD_BUCKETS = 256
+FOLD_SHIFT = 52  # the top 12 bits of the hash: 4096 buckets per class
 
 
 def attach_personas(labelled: DataFrame, personas: DataFrame, label: str = "cluster_id") -> DataFrame:
@@ -49,7 +49,7 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int | None = None,
         smallest = df.groupBy(col(label)).count().agg(F.min("count")).first()[0]
         folds = n_folds(smallest or 2)
     mark = F.xxhash64(col(key), F.lit(seed))
-    placed = df.withColumns({"_h": mark, "_b": F.shiftright(mark, 56)})
+    placed = df.withColumns({"_h": mark, "_b": F.shiftright(mark, FOLD_SHIFT)})
     counts = placed.groupBy(col(label).alias("_y"), "_b").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("_y").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_o", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select("_y", F.col("_b").alias("_bb"), "_o")
