@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortry.llm import langid, quality, tokenbin
+from cohortry.llm import html, langid, lm, quality, tokenbin, warc
 from cohortry.llm.common import fold, partitions, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +48,38 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 3) == 1
     model = langid.learn(docs.where(~held_out))
     return langid.predict(docs, model, more={"held_out": held_out})
+
+
+@register("op10_lm_scores")
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return lm.score(docs, train=fold("doc_id", 7) != 2, weigh=fold("doc_id", 7) == 5)
+
+
+@register("op8_html_text")
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read_table(spark, sf_dir, "pages", "page_id", "url", "html"), html.fit_tree())
+
+
+@register("op9_warc_derivatives")
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per derived record: which page and response it comes from, its digests, and what it holds."""
+    tasks = partitions(spark)
+    responses = warc.write_responses(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    records = warc.read_files(warc.build_derivatives(responses, tasks), tasks)
+    about = F.when(F.col("type") == "metadata", F.col("block").cast("string"))
+    return records.select(
+        F.col("key").cast("long").alias("page_id"),
+        F.col("target").alias("url"),
+        F.col("type").alias("record_type"),
+        F.col("id").alias("record_id"),
+        "refers_to",
+        "concurrent_to",
+        F.col("fields")["X-Source-Payload-Digest"].alias("source_payload_digest"),
+        F.col("fields")["WARC-Block-Digest"].alias("block_digest"),
+        "digest_ok",
+        F.get_json_object(about, "$.Payload-Digest-Verified").cast("boolean").alias("source_digest_ok"),
+        F.get_json_object(about, "$.Title").alias("title"),
+        F.length("block").cast("long").alias("block_bytes"),
+        F.when(F.col("type") == "conversion", F.sha1("block")).alias("text_sha1"),
+    )
