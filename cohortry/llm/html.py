@@ -150,17 +150,29 @@ LABELLED = (
     (80, 0.0, 60, 0.0, 90, 0.0, 0, 1, 1), (45, 0.05, 12, 0.0, 70, 0.1, 0, 1, 1), (9, 0.0, 0, 0.0, 80, 0.0, 0, 1, 1),
     (2, 0.0, 30, 0.0, 40, 0.0, 0, 1, 1), (1, 0.0, 3, 0.0, 2, 0.0, 0, 1, 1), (1, 0.0, 4, 0.0, 8, 0.0, 0, 1, 1),
     (12, 0.0, 6, 1.0, 55, 0.0, 0, 1, 1), (300, 0.02, 12, 0.0, 10, 0.0, 0, 1, 1), (25, 0.3, 40, 0.0, 30, 0.2, 0, 1, 1),
+    (20, 0.0, 3, 0.0, 5, 0.0, 0, 1, 1), (4, 0.0, 7, 0.0, 6, 0.0, 0, 1, 1), (60, 0.0, 2, 0.0, 1, 0.0, 0, 1, 1), (8, 0.0, 90, 0.0, 3, 0.0, 0, 1, 1),
+    (33, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1), (2, 0.0, 2, 0.0, 5, 1.0, 0, 1, 1), (13, 0.0, 150, 0.0, 0, 0.0, 0, 1, 1), (10, 0.2, 5, 0.0, 4, 0.0, 0, 1, 1),
     (7, 0.0, 10, 0.0, 8, 1.0, 0, 1, 1), (3, 0.0, 1, 1.0, 1, 0.0, 0, 1, 1), (5, 0.0, 9, 0.0, 0, 0.0, 0, 1, 1),
     (18, 0.5, 40, 0.0, 60, 0.0, 0, 1, 1), (40, 0.6, 30, 0.1, 50, 0.0, 0, 1, 1), (6, 1.0, 50, 0.0, 70, 0.0, 0, 1, 1),
     (4, 1.0, 22, 0.0, 35, 0.1, 0, 1, 1), (14, 0.0, 20, 0.0, 11, 0.0, 0, 1, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1),
+    (1, 0.0, 12, 0.0, 3, 1.0, 0, 1, 1), (4, 0.0, 60, 0.0, 2, 1.0, 0, 1, 1), (9, 0.0, 0, 0.0, 5, 1.0, 0, 1, 1), (16, 0.1, 33, 0.0, 4, 1.0, 0, 1, 1),
+    (50, 0.4, 45, 0.0, 6, 1.0, 0, 1, 1), (110, 0.35, 20, 0.0, 2, 1.0, 0, 1, 1), (38, 0.45, 3, 1.0, 3, 1.0, 0, 1, 1), (3, 0.0, 2, 1.0, 4, 1.0, 0, 1, 1),
+    (2, 0.0, 5, 0.0, 1, 1.0, 0, 1, 1), (70, 0.0, 9, 0.0, 8, 1.0, 0, 1, 1), (6, 0.2, 4, 0.0, 7, 1.0, 0, 1, 1), (28, 0.3, 1, 1.0, 3, 1.0, 0, 1, 1),
     # lists of links inside a marked article
     (3, 1.0, 4, 1.0, 2, 1.0, 0, 1, 0), (5, 1.0, 3, 1.0, 6, 1.0, 0, 1, 0), (2, 1.0, 2, 1.0, 3, 1.0, 0, 1, 0), (8, 1.0, 9, 1.0, 7, 1.0, 0, 1, 0),
     # in elements that are not the article, marked article around or not
     (6, 0.0, 1, 1.0, 9, 0.0, 1, -1, 0), (40, 0.0, 30, 0.0, 50, 0.0, 1, 1, 0), (120, 0.0, 80, 0.0, 60, 0.0, 1, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, -1, 0),
     (25, 0.0, 12, 0.0, 30, 0.0, 1, 0, 0), (60, 0.0, 45, 0.0, 20, 0.0, 1, 0, 0), (3, 1.0, 2, 1.0, 4, 1.0, 1, 0, 0), (9, 0.0, 70, 0.0, 0, 0.0, 1, -1, 0),
     (15, 0.0, 7, 0.0, 0, 0.0, 1, 0, 0), (200, 0.01, 30, 0.0, 8, 0.0, 1, -1, 0), (2, 0.0, 9, 0.0, 3, 0.0, 1, 1, 0), (1, 0.0, 0, 0.0, 5, 0.0, 1, 0, 0),
+    (7, 0.0, 1, 1.0, 11, 0.0, 1, -1, 0), (12, 0.0, 90, 0.0, 0, 0.0, 1, -1, 0), (18, 0.0, 3, 1.0, 75, 0.0, 1, 0, 0), (35, 0.2, 4, 1.0, 150, 0.0, 1, -1, 0),
+    (55, 0.0, 0, 0.0, 64, 0.0, 1, 0, 0), (8, 0.0, 110, 0.0, 34, 0.0, 1, 1, 0), (14, 0.0, 28, 0.0, 90, 0.0, 1, 1, 0), (85, 0.0, 52, 0.0, 41, 0.0, 1, 0, 0),
+    (5, 0.0, 66, 0.0, 48, 0.0, 1, 0, 0), (3, 0.0, 45, 0.0, 2, 0.0, 1, 1, 0), (22, 0.0, 19, 0.0, 37, 0.0, 1, -1, 0), (300, 0.0, 5, 0.0, 120, 0.0, 1, -1, 0),
+    (10, 0.0, 0, 0.0, 33, 0.0, 1, -1, 0), (47, 0.1, 58, 0.0, 39, 0.0, 1, 0, 0), (4, 0.0, 2, 0.0, 80, 0.0, 1, 0, 0), (65, 0.0, 70, 0.0, 95, 0.0, 1, 1, 0),
+    (16, 0.0, 1, 0.0, 44, 0.0, 1, 1, 0), (28, 0.0, 8, 0.0, 0, 0.0, 1, -1, 0), (6, 0.0, 40, 0.0, 62, 0.0, 1, 1, 0), (90, 0.0, 11, 0.0, 10, 0.0, 1, 1, 0),
     # outside the marked article, without a hint
     (12, 0.0, 1, 1.0, 9, 0.0, 0, -1, 0), (50, 0.0, 3, 0.0, 60, 0.0, 0, -1, 0), (3, 1.0, 3, 1.0, 2, 1.0, 0, -1, 0), (90, 0.1, 90, 0.0, 5, 0.0, 0, -1, 0),
+    (20, 0.0, 35, 0.0, 45, 0.0, 0, -1, 0), (5, 0.0, 50, 0.0, 70, 0.0, 0, -1, 0), (38, 0.0, 0, 0.0, 52, 0.0, 0, -1, 0), (11, 0.0, 3, 1.0, 100, 0.0, 0, -1, 0),
+    (65, 0.0, 40, 0.0, 33, 0.0, 0, -1, 0), (8, 0.0, 28, 0.0, 36, 0.0, 0, -1, 0), (110, 0.0, 75, 0.0, 80, 0.0, 0, -1, 0), (16, 0.0, 9, 0.0, 42, 0.0, 0, -1, 0),
     (7, 0.0, 80, 0.0, 0, 0.0, 0, -1, 0), (30, 0.0, 60, 0.0, 25, 0.0, 0, -1, 0), (1, 0.0, 2, 0.0, 9, 0.0, 0, -1, 0), (150, 0.0, 0, 0.0, 0, 0.0, 0, -1, 0),
     # pages without any mark: long blocks with few links, and short ones next to them
     (60, 0.0, 40, 0.0, 70, 0.0, 0, 0, 1), (25, 0.1, 60, 0.0, 30, 0.0, 0, 0, 1), (18, 0.0, 3, 1.0, 45, 0.0, 0, 0, 1), (120, 0.05, 2, 1.0, 3, 1.0, 0, 0, 1),
