@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import html, langid, lm, quality, tokenbin, warc
+from cohortry.llm import decontaminate, html, langid, lm, pieces, quality, tokenbin, warc
 from cohortry.llm.common import fold, partitions, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def register(name: str, sql: str | None = None):
@@ -83,3 +84,15 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("block").cast("long").alias("block_bytes"),
         F.when(F.col("type") == "conversion", F.sha1("block")).alias("text_sha1"),
     )
+
+
+@register("op5_decontamination")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontaminate.find(read_table(spark, sf_dir, "documents", "doc_id", "text"), benchmark)
+
+
+@register("op7_sentence_pieces")
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    threads = int(spark.conf.get("spark.task.cpus", "1"))
+    return pieces.encode(read_table(spark, sf_dir, "documents", "doc_id", "text"), PIECES, threads=threads, with_ids=False).drop("ids")
