@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import decontaminate, html, langid, lm, pieces, quality, tokenbin, warc
+from cohortry.llm import decontaminate, html, langid, lines, lm, pieces, quality, tokenbin, warc
 from cohortry.llm.common import fold, partitions, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     threads = int(spark.conf.get("spark.task.cpus", "1"))
     return pieces.encode(read_table(spark, sf_dir, "documents", "doc_id", "text"), PIECES, threads=threads, with_ids=False).drop("ids")
+
+
+@register("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its lines, those that went, and the length and md5 of what is left."""
+    left = lines.dedup_lines(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
