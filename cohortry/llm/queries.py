@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import decontaminate, html, langid, lines, lm, pieces, quality, tokenbin, warc
+from cohortry.llm import decontaminate, html, jaccard, langid, lines, lm, pieces, quality, tokenbin, warc
 from cohortry.llm.common import fold, partitions, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,21 @@ ORACLES: dict[str, str] = {}
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
+ORACLE_JACCARD = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c::DOUBLE / (x.n + y.n - c) >= 0.8),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(low.b, w.doc_id)) AS class_id, coalesce(n_links, 0) AS n_links
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = w.doc_id LEFT JOIN degree ON degree.a = w.doc_id
+"""
+
 
 def register(name: str, sql: str | None = None):
     def keep(f):
@@ -103,3 +118,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its lines, those that went, and the length and md5 of what is left."""
     left = lines.dedup_lines(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return left.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@register("op6_jaccard_join", ORACLE_JACCARD)
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.classes(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "class_id", "n_links")
