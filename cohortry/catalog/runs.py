@@ -343,7 +343,19 @@ def _(t: Tables):
     return kept.agg(F.count("*").alias("n_rules"), F.lit(1).alias("_k")).join(ledger.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
-@query("H04_near_duplicates")
+@query(
+    "H04_near_duplicates",
+    f"""WITH worded AS (SELECT doc_id AS id, trim(text) AS text FROM documents WHERE trim(coalesce(text, '')) <> ''),
+        firsts AS (SELECT text, min(id) AS a FROM worded GROUP BY text),
+        tok AS (SELECT a AS id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ('the', 'and', 'of'))) AS w FROM firsts),
+        tf AS (SELECT id, w, count(*) AS tf FROM tok GROUP BY ALL), dfq AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+        we AS (SELECT id, tf.w, tf * (ln((1 + (SELECT count(*) FROM firsts)) / (1.0 + df)) + 1) AS x FROM tf JOIN dfq ON dfq.w = tf.w),
+        nm AS (SELECT id, sqrt(sum(x * x)) AS n FROM we GROUP BY id),
+        near AS (SELECT x.id AS a, y.id AS b, sum(x.x / nx.n * y.x / ny.n) AS cosine FROM we x JOIN we y ON x.w = y.w AND x.id < y.id
+          JOIN nm nx ON nx.id = x.id JOIN nm ny ON ny.id = y.id GROUP BY ALL)
+        SELECT a, b, {r("cosine", 4)} AS cosine FROM near WHERE cosine > 0.85
+        UNION ALL SELECT a, id, {r("1.0", 4)} FROM worded JOIN firsts USING (text) WHERE id > a""",
+)
 def _(t: Tables):
     rules = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("rule"), F.lit(None).cast("string").alias("hint"))
     return rounded(feedback.near_duplicates(rules, 0.85, ["the", "and", "of"]), 4)

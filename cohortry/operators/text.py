@@ -77,12 +77,15 @@ def _weighted_terms(documents, key, text, stop_words, ngrams, min_df, max_terms,
     exploded = with_terms(spread_out(filled), "_text", stops, ngrams).select("id", F.explode("terms").alias("term"))
     counts = exploded.groupBy("id", "term").agg(F.count("*").alias("tf")).persist(StorageLevel.MEMORY_AND_DISK)
     stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df)
-    chosen = stats.orderBy(F.desc("cf"), "term").limit(max_terms)
     idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
-    order = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("term")) - 1  # at most max_terms rows
-    vocabulary = cut_lineage(chosen.select(order.alias("term_id"), "term", "df", idf.alias("idf")))
     tf = F.col("tf").cast("double")
     weight = (F.log(tf) + 1.0 if sublinear else tf) * F.col("idf")
+    if max_terms is None:  # every term: the vocabulary grows with the corpus, so it is joined and gets no numbers
+        vocabulary = stats.select("term", "df", idf.alias("idf"))
+        return counts.join(vocabulary, "term").withColumn("w", weight), vocabulary, n_docs
+    chosen = stats.orderBy(F.desc("cf"), "term").limit(max_terms)
+    order = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("term")) - 1  # at most max_terms rows
+    vocabulary = cut_lineage(chosen.select(order.alias("term_id"), "term", "df", idf.alias("idf")))
     return counts.join(F.broadcast(vocabulary), "term").withColumn("w", weight), vocabulary, n_docs
 
 
@@ -93,17 +96,19 @@ def term_weights(
     stop_words: Iterable[str] | None = None,
     ngrams: int = 2,
     min_df: int = MIN_DOCUMENT_FREQUENCY,
-    max_terms: int = MAX_TERMS,
+    max_terms: int | None = MAX_TERMS,
     sublinear: bool = True,
 ) -> tuple[DataFrame, DataFrame, int]:
-    """Long table ``id, term_id, term, tf, tfidf`` (L2 rows), the vocabulary, and the document count.
+    """Long table ``id, term_id, term, df, tf, tfidf`` (L2 rows), the vocabulary, and the document count.
 
-    The counts are combined on the map side; only the vocabulary, which is
-    bounded by ``max_terms``, is broadcast.
+    The counts are combined on the map side; only a vocabulary bounded by
+    ``max_terms`` is broadcast. With ``max_terms=None`` all terms count, and
+    there is no ``term_id``.
     """
     weighted, vocabulary, n_docs = _weighted_terms(documents, key, text, stop_words, ngrams, min_df, max_terms, sublinear)
     norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    long = weighted.join(norms, "id").select("id", "term_id", "term", "tf", (F.col("w") / F.col("norm")).alias("tfidf"))
+    number = ["term_id"] if max_terms is not None else []
+    long = weighted.join(norms, "id").select("id", *number, "term", "df", "tf", (F.col("w") / F.col("norm")).alias("tfidf"))
     return long, vocabulary, n_docs
 
 
