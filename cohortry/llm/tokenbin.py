@@ -15,9 +15,14 @@ Any id can be read by its position: block = position // block_ids, then one offs
 
 from __future__ import annotations
 
+import functools
+import itertools
+import os
+import re
 import struct
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,13 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import WORD, new_folder, stored
+from cohortry.llm.common import chunks, new_folder, stored
 
 MAGIC = b"FWTB0001"
 TAIL = struct.Struct("<IIQQQ8s")
 BLOCK_IDS = 1 << 14
-#: Words whose ids an encoder remembers; beyond that it starts anew. Bounds memory, never changes ids.
-REMEMBERED_WORDS = 300_000
+#: Words whose ids an encoder remembers before it starts anew, and characters of text that it takes at once.
+REMEMBERED_WORDS = 400_000
+BATCH_CHARS = 1 << 20
 
 
 def bit_width(vocabulary: int) -> int:
@@ -138,32 +144,63 @@ class Reader:
             i = j
 
 
-def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """Encode texts with a vocabulary whose tokens never cross ASCII white space, each distinct word once.
+#: A word of Latin letters, and the ASCII punctuation behind it: tokens never cross that border (an apostrophe may begin one).
+LETTERS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+)([!-&(-/:-@\[-`{-~]*)")
 
-    The tokenizer drops white space between words, so the ids of a text are those of its words in turn.
-    """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[str, list[int]] = {}
+class WordEncoder:
+    """Encodes texts with the lower-casing word vocabulary, each distinct word once.
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
+    The tokenizer drops white space between words, so the ids of a text are those of its words in turn. A word of letters
+    with punctuation behind it is two pieces to the tokenizer, and one in plain lower case goes to its model at once.
+    Words are remembered up to a number, then all forgotten; that bounds memory and never changes ids.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[bytes, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.parts: dict[str, list[int]] = {"": []}
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)  # of word i: ids[ends[i]:ends[i + 1]]
+
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        cut = [(m[1].lower() if m[1].isascii() else m[1], m[2]) if (m := LETTERS.fullmatch(w)) else (w, "") for w in words]
+        new = [p for p in dict.fromkeys(itertools.chain.from_iterable(cut)) if p not in self.parts]
+        plain = [p for p in new if p.isascii() and p.isalpha()]
+        self.parts.update((p, [t.id for t in self.tokenizer.model.tokenize(p)]) for p in plain)
+        others = [p for p in new if p not in self.parts]
+        self.parts.update(zip(others, (e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False))))
+        return [self.parts[a] + self.parts[b] for a, b in cut]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.number) > REMEMBERED_WORDS:
+            self._forget()
+        known = len(self.number)
+        # of bytes, split() parts at ASCII white space alone
+        numbers = [np.fromiter(map(self.number.__getitem__, t.encode("utf-8", "surrogatepass").split()), np.int64) for t in texts]
+        if len(self.number) > known:
+            new = [w.decode("utf-8", "surrogatepass") for w in itertools.islice(reversed(self.number), len(self.number) - known)][::-1]
+            found = self._encode(new)
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum()))])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
         out = []
-        for text in texts:
-            words = WORD.findall(text)
-            if len(known) > REMEMBERED_WORDS:
-                known.clear()
-            new = list(dict.fromkeys(w for w in words if w not in known))
-            for word, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[word] = found.ids
-            ids: list[int] = []
-            for word in words:
-                ids += known[word]
-            out.append(np.array(ids, np.uint32))
+        for at in numbers:
+            n = self.ends[at + 1] - self.ends[at]
+            out.append(self.ids[np.arange(n.sum()) + np.repeat(self.ends[at] - (np.cumsum(n) - n), n)])
         return out
 
-    return encode
+
+@functools.cache
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder per Python process: tasks that reuse a worker reuse its words."""
+    return WordEncoder(path)
 
 
 def vocabulary_size(path: str) -> int:
@@ -194,10 +231,10 @@ def write_token_files(docs: DataFrame, make_encoder: Callable, vocabulary: int,
                 path = f"{root}/{shard:06d}-{uuid.uuid4().hex}.fwtb"
                 encode, sink = make_encoder(), store.open_output_stream(path)
                 writer = Writer(sink, width)
-            for k, t in zip(keys, texts):
-                ids = encode([t or ""])[0]
-                writer.add(k, ids if end_id is None else np.append(ids, np.uint32(end_id)))
-                n += 1
+            for begin, end in chunks([len(t or "") for t in texts], BATCH_CHARS):
+                for k, ids in zip(keys[begin:end], encode([t or "" for t in texts[begin:end]])):
+                    writer.add(k, ids if end_id is None else np.append(ids, np.uint32(end_id)))
+                    n += 1
         if writer is not None:
             total = writer.close()
             sink.close()
