@@ -20,16 +20,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.llm.common import chunks as cut_up
 from cohortry.llm.common import partitions, stored
 
 BYTE_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: The end token (no word contains a space); as a context it stands for the start of a document.
 END = xxhash.xxh64_intdigest(b" end")
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 21
+#: Owners of keys for each shuffle partition: what one of them holds at a time stays small.
+OWNERS = 2
+#: Tokens that are rated at once.
+RATE_TOKENS = 1 << 18
 #: Roles of documents: counted; counted and used for the weights; only scored.
 COUNTED, WEIGHTS, SCORED = 0, 1, 2
 BUCKETS = 24
@@ -57,6 +63,16 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, compressed: of small numbers the upper planes vanish."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T.tobytes())
+
+
+def unsqueeze(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
 class Chunk:
     """Tokens of some documents of one role: numbers into the chunk's own vocabulary of word hashes; 0 is the end token."""
 
@@ -75,7 +91,7 @@ class Chunk:
 
     def row(self, number: int, role: int) -> pa.RecordBatch:
         vocabulary = np.array([END, *map(xxhash.xxh64_intdigest, self.words)], np.uint64)
-        columns = [pa.array([number], pa.int64()), pa.array([role], pa.int32()), pa.array([self.keys], pa.list_(pa.int64())), pa.array([self.lengths], pa.list_(pa.int64())), pa.array([np.concatenate(self.parts).tobytes()], pa.binary()), pa.array([vocabulary.tobytes()], pa.binary())]
+        columns = [pa.array([number], pa.int64()), pa.array([role], pa.int32()), pa.array([self.keys], pa.list_(pa.int64())), pa.array([self.lengths], pa.list_(pa.int64())), pa.array([squeeze(np.concatenate(self.parts))], pa.binary()), pa.array([vocabulary.tobytes()], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["chunk", "role", "keys", "lengths", "tokens", "vocabulary"])
 
 
@@ -101,11 +117,14 @@ def to_chunks(docs: DataFrame, role: Column, key: str, text: str) -> DataFrame:
 
 
 class Grams:
-    """The tokens of a chunk row, its distinct keys (words first, then pairs), and where each token's keys are."""
+    """The tokens of a chunk row, its distinct keys (words first, then pairs), and where each token's keys are.
 
-    def __init__(self, lengths: list[int], tokens: bytes, vocabulary: bytes):
-        self.lengths = np.array(lengths, np.int64)
-        local, hashes = np.frombuffer(tokens, np.uint32), np.frombuffer(vocabulary, np.uint64)
+    A word's key is odd, a pair's even. Keys are sent in ascending order; an owner owns a range of them.
+    """
+
+    def __init__(self, row: dict):
+        self.lengths = np.array(row["lengths"], np.int64)
+        local, hashes = unsqueeze(row["tokens"], np.uint32), np.frombuffer(row["vocabulary"], np.uint64)
         before = np.zeros(len(local), np.uint32)
         before[1:] = local[:-1]
         before[np.cumsum(self.lengths)[:-1]] = 0  # a document begins after the end token
@@ -113,18 +132,13 @@ class Grams:
         distinct, self.pair_at = np.unique(pairs, return_inverse=True)
         self.word_at, self.context_at = local, before
         pair_keys = pair_hash(hashes[(distinct >> np.uint64(32)).astype(np.int64)], hashes[(distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)])
-        self.keys = np.concatenate([hashes, pair_keys])
+        self.keys = np.concatenate([hashes | np.uint64(1), pair_keys & ~np.uint64(1)])
         self.n_words = len(hashes)
+        self.order = np.argsort(self.keys, kind="stable")
 
     def counts(self) -> np.ndarray:
         return np.concatenate([np.bincount(self.word_at, minlength=self.n_words), np.bincount(self.pair_at, minlength=len(self.keys) - self.n_words)])
 
-    def owners(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys in the order in which they are sent, and where the keys of each owner begin."""
-        owner = (self.keys >> np.uint64(20)) % np.uint64(n)
-        order = np.argsort(owner, kind="stable")
-        return order, np.searchsorted(owner[order], np.arange(n + 1, dtype=np.uint64))
-
 
 def count_keys(chunks: DataFrame, owners: int) -> DataFrame:
     """For each chunk and owner: totals of the chunk's keys over the counted documents, and over those of role WEIGHTS.
@@ -134,25 +148,27 @@ def count_keys(chunks: DataFrame, owners: int) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                grams = Grams(row["lengths"], row["tokens"], row["vocabulary"])
-                order, cut = grams.owners(owners)
-                counts = grams.counts().astype(np.uint32)
-                full = [(o, order[cut[o] : cut[o + 1]]) for o in range(owners) if cut[o] < cut[o + 1]]
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                grams = Grams(row)
+                keys, counts = grams.keys[grams.order], grams.counts()[grams.order].astype(np.uint64)
+                owner = ((keys >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
+                cut = np.searchsorted(owner, np.arange(owners + 1, dtype=np.uint64))
+                full = [(o, slice(cut[o], cut[o + 1])) for o in range(owners) if cut[o] < cut[o + 1]]
                 columns = [
                     pa.array([o for o, _ in full], pa.int32()),
                     pa.array([row["chunk"]] * len(full), pa.int64()),
                     pa.array([row["role"]] * len(full), pa.int32()),
-                    pa.array([int((at < grams.n_words).sum()) for _, at in full], pa.int64()),
-                    pa.array([grams.keys[at].tobytes() for _, at in full], pa.binary()),
-                    pa.array([counts[at].tobytes() if row["role"] != SCORED else b"" for _, at in full], pa.binary()),
+                    pa.array([squeeze(np.diff(keys[k], prepend=np.uint64(0))) for _, k in full], pa.binary()),
+                    pa.array([squeeze(counts[k]) if row["role"] != SCORED else b"" for _, k in full], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["owner", "chunk", "role", "n_words", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays(columns, ["owner", "chunk", "role", "keys", "counts"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 if held and held[0]["owner"] != row["owner"]:
                     yield total(held)
                     held = []
@@ -161,18 +177,20 @@ def count_keys(chunks: DataFrame, owners: int) -> DataFrame:
             yield total(held)
 
     def total(rows: list[dict]) -> pa.RecordBatch:
-        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
-        n = np.concatenate([np.frombuffer(r["counts"], np.uint32) if r["role"] != SCORED else np.zeros(len(r["keys"]) // 8, np.uint32) for r in rows])
-        sizes = [len(r["keys"]) // 8 for r in rows]
-        distinct, at = np.unique(keys, return_inverse=True)
-        every = np.bincount(at, n, len(distinct)).astype(np.uint64)
-        role = np.repeat([r["role"] for r in rows], sizes)
-        part = np.bincount(at[role == WEIGHTS], n[role == WEIGHTS], len(distinct)).astype(np.uint64)
-        is_word = np.zeros(len(distinct), bool)
-        ends = np.cumsum(sizes)
-        for r, end, size in zip(rows, ends, sizes):
-            is_word[at[end - size : end - size + r["n_words"]]] = True
-        answers = [(every[at[end - size : end]].tobytes(), part[at[end - size : end]].tobytes() if r["role"] == WEIGHTS else b"") for r, end, size in zip(rows, ends, sizes)]
+        parts = [np.cumsum(unsqueeze(r.pop("keys"), np.uint64), dtype=np.uint64) for r in rows]
+        ends = np.cumsum([len(p) for p in parts])
+        begins = np.concatenate([[0], ends[:-1]])
+        distinct, at = np.unique(np.concatenate(parts), return_inverse=True)
+        del parts
+        every, part = np.zeros(len(distinct), np.uint64), np.zeros(len(distinct), np.uint64)
+        for r, b, e in zip(rows, begins, ends):
+            if r["role"] != SCORED:  # a row has each key once
+                counts = unsqueeze(r["counts"], np.uint64)
+                every[at[b:e]] += counts
+                if r["role"] == WEIGHTS:
+                    part[at[b:e]] += counts
+        is_word = (distinct & np.uint64(1)).astype(bool)
+        answers = [(squeeze(every[at[b:e]]), squeeze(part[at[b:e]]) if r["role"] == WEIGHTS else b"") for r, b, e in zip(rows, begins, ends)]
         stats = [int(every[is_word].sum()), int((every[is_word] > 0).sum()), int(part[is_word].sum())]
         return pa.RecordBatch.from_arrays(
             [
@@ -186,18 +204,15 @@ def count_keys(chunks: DataFrame, owners: int) -> DataFrame:
             ["chunk", "role", "owner", "every", "part", "n_tokens", "n_types", "n_part"],
         )
 
-    asked = chunks.mapInArrow(ask, "owner int, chunk long, role int, n_words long, keys binary, counts binary")
+    asked = chunks.mapInArrow(ask, "owner int, chunk long, role int, keys binary, counts binary")
     return asked.repartition(owners, "owner").sortWithinPartitions("owner", "chunk").mapInArrow(answer, "chunk long, role int, owner int, every binary, part binary, n_tokens long, n_types long, n_part long")
 
 
-def with_counts(row: dict, answers: list[dict], owners: int, column: str) -> tuple[Grams, np.ndarray]:
-    """The tokens of a chunk and, for each of its keys, the total that the owners sent."""
-    grams = Grams(row["lengths"], row["tokens"], row["vocabulary"])
-    order, _ = grams.owners(owners)
+def received(grams: Grams, answers: list[dict], column: str) -> np.ndarray:
+    """For each key of a chunk, the total that its owner sent."""
     totals = np.zeros(len(grams.keys), np.int64)
-    sent = b"".join(a[column] for a in sorted(answers, key=lambda a: a["owner"]))
-    totals[order] = np.frombuffer(sent, np.uint64).astype(np.int64)
-    return grams, totals
+    totals[grams.order] = np.concatenate([unsqueeze(a[column], np.uint64) for a in sorted(answers, key=lambda a: a["owner"])]).astype(np.int64)
+    return totals
 
 
 def together(chunks: DataFrame, answers: DataFrame, f, schema: str) -> DataFrame:
@@ -209,7 +224,7 @@ def together(chunks: DataFrame, answers: DataFrame, f, schema: str) -> DataFrame
     return chunks.groupBy("chunk").cogroup(answers.where("chunk IS NOT NULL").groupBy("chunk")).applyInArrow(one, schema)
 
 
-def learn_weights(chunks: DataFrame, answers: DataFrame, owners: int, rounds: int = 60) -> Weights:
+def learn_weights(chunks: DataFrame, answers: DataFrame, rounds: int = 60) -> Weights:
     """Mixture weights of each bucket, by expectation-maximisation on the held-out counts.
 
     Held-out tokens are counted by (bucket, cell of the bigram estimate, cell of the unigram estimate), so that what
@@ -225,9 +240,8 @@ def learn_weights(chunks: DataFrame, answers: DataFrame, owners: int, rounds: in
         return out
 
     def count(row: dict, sent: list[dict]) -> pa.RecordBatch:
-        grams, every = with_counts(row, sent, owners, "every")
-        _, part = with_counts(row, sent, owners, "part")
-        left = every - part
+        grams = Grams(row)
+        left = received(grams, sent, "every") - received(grams, sent, "part")
         context, word, pair = left[grams.context_at], left[grams.word_at], left[grams.n_words + grams.pair_at]
         at = (bucket_of(context) * CELLS + cell(pair / np.maximum(context, 1))) * CELLS + cell(word / rest)
         found, n = np.unique(at, return_counts=True)
@@ -262,27 +276,34 @@ def score(docs: DataFrame, train: Column, weigh: Column, key: str = "doc_id", te
     training documents every estimate but the uniform one is zero, with a single type. An empty table gives no rows.
     """
     role = F.when(~F.coalesce(train, F.lit(False)), SCORED).when(F.coalesce(weigh, F.lit(False)), WEIGHTS).otherwise(COUNTED)
-    owners = partitions(docs.sparkSession)
+    owners = OWNERS * partitions(docs.sparkSession)
     chunks = stored(to_chunks(docs, role, key, text), "lm-chunks")
     answers = stored(count_keys(chunks, owners), "lm-counts")
-    w = learn_weights(chunks, answers, owners)
+    w = learn_weights(chunks, answers)
 
     def rate(row: dict, sent: list[dict]) -> pa.RecordBatch:
-        grams, every = with_counts(row, sent, owners, "every")
-        context, word, pair = every[grams.context_at], every[grams.word_at], every[grams.n_words + grams.pair_at]
-        mix = w.mix[bucket_of(context)]
-        p = mix[:, 0] * (pair / np.maximum(context, 1)) + mix[:, 1] * (word / max(w.n_tokens, 1)) + mix[:, 2] / (w.n_types + 1)
-        base = np.log10((word + 1) / (w.n_tokens + w.n_types + 1))
-        starts = np.cumsum(grams.lengths) - grams.lengths
-        n = len(starts)
+        grams = Grams(row)
+        every = received(grams, sent, "every")
+        n = len(grams.lengths)
+        known, base, model = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        ends = np.cumsum(grams.lengths)
+        for first, last in cut_up(grams.lengths.tolist(), RATE_TOKENS):
+            begin, end = ends[first] - grams.lengths[first], ends[last - 1]
+            context, word, pair = every[grams.context_at[begin:end]], every[grams.word_at[begin:end]], every[grams.n_words + grams.pair_at[begin:end]]
+            mix = w.mix[bucket_of(context)]
+            p = mix[:, 0] * (pair / np.maximum(context, 1)) + mix[:, 1] * (word / max(w.n_tokens, 1)) + mix[:, 2] / (w.n_types + 1)
+            starts = ends[first:last] - grams.lengths[first:last] - begin
+            known[first:last] = np.add.reduceat((word > 0).astype(np.int64), starts)
+            base[first:last] = np.add.reduceat(np.log10((word + 1) / (w.n_tokens + w.n_types + 1)), starts)
+            model[first:last] = np.add.reduceat(np.log10(p), starts)
         columns = [
             pa.array(row["keys"], pa.int64()),
             pa.array([row["role"] == SCORED] * n, pa.bool_()),
             pa.array(grams.lengths, pa.int64()),
-            pa.array(np.add.reduceat((word > 0).astype(np.int64), starts), pa.int64()),
+            pa.array(known, pa.int64()),
             pa.array([w.n_tokens] * n, pa.int64()),
-            pa.array(np.add.reduceat(base, starts), pa.float64()),
-            pa.array(np.add.reduceat(np.log10(p), starts), pa.float64()),
+            pa.array(base, pa.float64()),
+            pa.array(model, pa.float64()),
         ]
         return pa.RecordBatch.from_arrays(columns, [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
