@@ -235,7 +235,7 @@ def _(t: Tables):
 def _text_sql(min_tokens: int, min_unique: float) -> str:
     parts = [
         f"""SELECT '{c}' AS "column", avg(coalesce(len(regexp_extract_all({c}, '\\S+')), 0)) AS avg_tokens,
-            count(DISTINCT {c}) * 1.0 / greatest(count({c}), 1) AS uniqueness FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 2000) WHERE {c} IS NOT NULL"""
+            count(DISTINCT {c}) * 1.0 / greatest(count({c}), 1) AS uniqueness FROM documents WHERE {c} IS NOT NULL"""
         for c in ("text", "lang", "source")
     ]
     return f"""SELECT "column", {r('avg_tokens', 4)} AS avg_tokens, {r('uniqueness', 4)} AS uniqueness,
@@ -245,7 +245,7 @@ def _text_sql(min_tokens: int, min_unique: float) -> str:
 
 
 def _text(t: Tables, min_tokens: float, min_unique: float):
-    scores = profiling.text_scores(t.documents, ["doc_id"])
+    scores = profiling.text_scores(t.documents)
     best = profiling.detect_text_column(scores, min_tokens, min_unique)
     out = scores.select("column", "avg_tokens", "uniqueness", "score", (F.col("column") == F.lit(best)).alias("chosen"))
     return rounded(out, 4)
@@ -265,11 +265,11 @@ query("P08_text_column_loose", _text_sql(5, 0.0))(lambda t: _text(t, 5, 0.0))
 )
 def _(t: Tables):
     found = [
-        ("documents", profiling.route_modality(t.documents, ["doc_id"])),
-        ("orders", profiling.route_modality(t.orders, ["o_orderkey"])),
-        ("documents_forced", profiling.route_modality(t.documents, ["doc_id"], forced="tabular")),
-        ("pages_without_numbers", profiling.route_modality(t.pages.select("url"), ["url"])),
-        ("no_rows", profiling.route_modality(t.orders.where("o_totalprice < 0"), ["o_orderkey"])),
+        ("documents", profiling.route_modality(t.documents)),
+        ("orders", profiling.route_modality(t.orders)),
+        ("documents_forced", profiling.route_modality(t.documents, forced="tabular")),
+        ("pages_without_numbers", profiling.route_modality(t.pages.select("url"))),
+        ("no_rows", profiling.route_modality(t.orders.where("o_totalprice < 0"))),
     ]
     rows = [(n, d["modality"], d["text_column"], d["blocked"]) for n, d in found]
     return t.spark.createDataFrame(rows, "source string, modality string, text_column string, blocked boolean")
@@ -289,7 +289,7 @@ def _role_sql(table: str, role: str, entity: str = "", timestamp: str = "") -> s
     for i, (c, k) in enumerate(columns.items()):
         lo, hi = (f"CAST(min({c}) AS DOUBLE)", f"CAST(max({c}) AS DOUBLE)") if k in ("int", "num") else ("NULL", "NULL")
         parse = (
-            f"(SELECT avg(CASE WHEN TRY_CAST({c} AS TIMESTAMP) IS NOT NULL THEN 1.0 ELSE 0.0 END) FROM (SELECT {c} FROM {table} WHERE {c} IS NOT NULL ORDER BY {key} LIMIT 20))"
+            f"(SELECT avg(CASE WHEN TRY_CAST({c} AS TIMESTAMP) IS NOT NULL THEN 1.0 ELSE 0.0 END) FROM {table} WHERE {c} IS NOT NULL)"
             if k == "text"
             else "NULL"
         )
@@ -317,7 +317,7 @@ for _id, _role in ROLE_IDS.items():
         _e, _ts = SETTLED[_table]
 
         def _scores(t: Tables, table=_table, role=_role, e=_e, ts=_ts):
-            stats = roles.column_statistics(getattr(t, table), [ROLE_TABLES[table][0]])
+            stats = roles.column_statistics(getattr(t, table))
             found = roles.role_scores(stats, e, ts).where(F.col("role") == role)
             return found.select("role", F.col("place").cast("int").alias("place"), "column", F.col("score").cast("int").alias("score"))
 

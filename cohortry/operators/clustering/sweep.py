@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.partials import PART_SCHEMA, matrix_parts, summed_rows
-from cohortry.functions.quantiles import ONE_PASS_ROWS
+from cohortry.functions.quantiles import exact_quantiles
 from cohortry.functions.vectors import matrix_of, squared_distances
 from cohortry.sources.tables import sample_rows
 
 BLOB_ROWS = 2_048
-START_ROWS = 10_000
+START_ROWS = 10_000  # seeded sample of the rows from which starting centres are drawn; more where k needs it
 
 
 @dataclass(frozen=True)
@@ -36,15 +36,12 @@ class Fit:
 def with_masks(vectors: DataFrame, n: int, share: float, repeats: int, seed: int) -> DataFrame:
     """Add ``masks``: per repeat, whether the row belongs to that subsample of max(5, share x n) rows."""
     size = min(max(5, int(n * share)), n - 1)
-    marks = [F.xxhash64("id", F.lit(seed + i)).cast("double") for i in range(repeats)]
-    if not marks:
+    if not repeats:
         return vectors.withColumn("masks", F.array().cast("array<boolean>"))
-    if n <= ONE_PASS_ROWS:  # a cut between two order statistics selects exactly ``size`` rows
-        picks = [F.percentile(m, F.lit((size - 0.5) / (n - 1))) for m in marks]
-    else:
-        picks = [F.percentile_approx(m, F.lit(size / n), F.lit(100_000)) for m in marks]
-    cuts = vectors.agg(*[p.alias(f"c{i}") for i, p in enumerate(picks)]).first()
-    return vectors.withColumn("masks", F.array(*[m <= F.lit(cuts[i]) for i, m in enumerate(marks)]))
+    marks = {f"m{i}": F.xxhash64("id", F.lit(seed + i)).cast("double") for i in range(repeats)}
+    # a cut between two order statistics selects exactly ``size`` rows
+    cuts = exact_quantiles(vectors.select(*[m.alias(c) for c, m in marks.items()]), {c: [(size - 0.5) / (n - 1)] for c in marks})
+    return vectors.withColumn("masks", F.array(*[m <= F.lit(cuts[c][0]) for c, m in marks.items()]))
 
 
 def _packed(rows: DataFrame, unit: bool) -> DataFrame:
@@ -123,7 +120,8 @@ def sweep(vectors: DataFrame, fits: list[Fit], unit: bool = False, max_iter: int
         packed.count()
         few.unpersist()
         tasks = min(blobs, sc.defaultParallelism)
-    head = sample_rows(vectors.select("id", "features", "masks"), "id", n=START_ROWS).toPandas().sort_values("id")
+    starts = max(START_ROWS, 20 * max(f.k for f in fits))
+    head = sample_rows(vectors.select("id", "features", "masks"), "id", n=starts).toPandas().sort_values("id")
     x0 = matrix_of(head)
     if unit:
         norm = np.linalg.norm(x0, axis=1, keepdims=True)

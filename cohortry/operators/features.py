@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from cohortry.functions.columns import col, month_index, safe_name, string_columns, unique_names, whole_days
 from cohortry.functions.moments import column_moments
 from cohortry.functions.quantiles import HOT_GROUP_ROWS, exact_quantiles, group_medians
+from cohortry.operators.profiling import distinct_counts
 from cohortry.session import MAX_PIVOT_VALUES, take_bounded
 
 NO_TIMESTAMP = datetime(2020, 1, 1)  # stands in when the table has no time column
@@ -375,7 +376,7 @@ def pick_static_columns(frame: EventFrame) -> list[str]:
     numbers = [
         f.name
         for f in events.schema.fields
-        if f.name in candidates and isinstance(f.dataType, T.NumericType) and f.name not in (roles.amount or "")
+        if f.name in candidates and isinstance(f.dataType, T.NumericType) and f.name != roles.amount
     ]
     picked = set()
     if texts:
@@ -384,12 +385,12 @@ def pick_static_columns(frame: EventFrame) -> list[str]:
         if near:
             exact = events.agg(*[F.size(F.collect_set(col(c))).alias(f"d{i}") for i, c in enumerate(near)]).first()
             picked |= {c for i, c in enumerate(near) if exact[i] <= 20}
-    for c in numbers:
-        pairs = events.where(col(c).isNotNull()).select(col(roles.entity).alias("e"), col(c).alias("v")).distinct()
-        stats = pairs.agg(F.count("*").alias("p")).first()["p"]
-        entities = events.select(col(roles.entity)).distinct().count()
-        if entities and stats / entities < 2:
-            picked.add(c)
+    if numbers:  # one pass over (entity, column, value): pairs per column, and the entities
+        cells = [F.struct(F.lit(i).alias("c"), col(c).cast("double").alias("v")) for i, c in enumerate(numbers)]
+        marks = F.explode(F.array(F.struct(F.lit(-1).alias("c"), F.lit(0.0).alias("v")), *cells)).alias("s")
+        pairs = events.select(col(roles.entity).alias("e"), marks).where("s.v IS NOT NULL").select("e", "s.c", "s.v").distinct()
+        found = {r["c"]: r["n"] for r in pairs.groupBy("c").agg(F.count("*").alias("n")).collect()}  # a row per column
+        picked |= {c for i, c in enumerate(numbers) if found.get(-1) and found.get(i, 0) / found[-1] < 2}
     return [c for c in candidates if c in picked]
 
 
@@ -436,8 +437,8 @@ def entity_diversity(frame: EventFrame, cols_to_count=None, windows=(6, 12, "all
     if not columns and not requested:
         texts = [c for c in string_columns(frame.events) if not c.startswith("_") and c != e]
         if texts:
-            sizes = frame.events.agg(*[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(texts)]).first()
-            columns = [c for i, c in enumerate(texts) if sizes[i] < 500]
+            sizes = distinct_counts(frame.events, texts)
+            columns = [c for c in texts if sizes[c] < 500]
     parts, order = [], [f"n_unique_{safe_name(c)}_{label_of(w)}" for w in windows for c in columns]
     for c in columns:
         seen = frame.events.where(col(c).isNotNull()).groupBy(col(e).alias(e), col(c).alias("_v")).agg(

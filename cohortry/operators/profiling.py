@@ -15,7 +15,6 @@ from cohortry.functions.quantiles import exact_quantiles
 EXACT_DISTINCT_UP_TO = 1_000
 HIGH_MISSING = 0.30
 HIGH_CARDINALITY = 100
-SUMMARY_COLUMNS = 50
 
 
 def distinct_counts(df: DataFrame, columns: list[str], exact_up_to: int = EXACT_DISTINCT_UP_TO) -> dict[str, int]:
@@ -35,6 +34,15 @@ def distinct_counts(df: DataFrame, columns: list[str], exact_up_to: int = EXACT_
     return out
 
 
+def exact_distinct(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Distinct non-null values of each column, counted in one pass over (column, hash of the value) pairs."""
+    if not columns:
+        return {}
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.xxhash64(col(c)).alias("h"), col(c).isNotNull().alias("ok")) for i, c in enumerate(columns)])).alias("s"))
+    found = {r["c"]: r["n"] for r in pairs.where("s.ok").select("s.c", "s.h").distinct().groupBy("c").count().withColumnRenamed("count", "n").collect()}  # a row per column
+    return {c: int(found.get(i, 0)) for i, c in enumerate(columns)}
+
+
 def column_types(df: DataFrame, distinct: dict[str, int] | None = None) -> dict[str, str]:
     """numeric, then datetime, then binary (one or two values), then categorical, else other."""
     rest = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.NumericType) and not is_temporal(f.dataType)]
@@ -58,8 +66,8 @@ def column_types(df: DataFrame, distinct: dict[str, int] | None = None) -> dict[
 def column_profile(df: DataFrame) -> DataFrame:
     """One row per column: kind, missing rate and flags, and the distribution of numeric columns.
 
-    One pass gives all the moments; the distribution covers the first 50 numeric
-    columns.  As in the rest of the profile, NaN counts as missing.
+    One pass gives the moments of all numeric columns.  As in the rest of the
+    profile, NaN counts as missing.
     """
     kinds = column_types(df)
     texts = [c for c, k in kinds.items() if k == "categorical"]
@@ -73,7 +81,7 @@ def column_profile(df: DataFrame) -> DataFrame:
         m = found.get(name)
         missing = (m.nulls if m else gaps[f"g{others.index(name)}"]) / max(gaps["n"], 1)
         numbers_of = (None,) * 5
-        if m and m.n and name in numbers[:SUMMARY_COLUMNS]:
+        if m and m.n:
             std = math.sqrt(m.variance * m.n / (m.n - 1)) if m.n > 1 else None
             numbers_of = (m.low, m.high, m.mean, std, m.skew)
         rows.append((name, kinds[name], float(missing), *numbers_of, cards.get(name, 0) > HIGH_CARDINALITY))
@@ -151,12 +159,12 @@ def column_summary(df: DataFrame, column: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def text_scores(df: DataFrame, order: list[str], rows: int = 2_000) -> DataFrame:
-    """Tokens per value, uniqueness and score of each string column over the first rows in key order."""
-    head = df.orderBy(*order).limit(rows)  # detection looks at the head of the table by definition
+def text_scores(df: DataFrame) -> DataFrame:
+    """Tokens per value, uniqueness and score of each string column over all rows."""
     texts = string_columns(df)
     if not texts:
         return df.sparkSession.createDataFrame([], "column string, avg_tokens double, uniqueness double, score double")
+    distinct = exact_distinct(df, texts)
     per = []
     for i, c in enumerate(texts):
         v = col(c)
@@ -165,11 +173,11 @@ def text_scores(df: DataFrame, order: list[str], rows: int = 2_000) -> DataFrame
                 F.lit(c).alias("column"),
                 F.lit(i).alias("position"),
                 F.avg(F.when(v.isNotNull(), token_count(v))).alias("avg_tokens"),
-                (F.count_distinct(v) / F.greatest(F.count(v), F.lit(1))).alias("uniqueness"),
+                (F.lit(distinct[c]) / F.greatest(F.count(v), F.lit(1))).alias("uniqueness"),
                 F.count(v).alias("n"),
             )
         )
-    long = head.agg(F.array(*per).alias("a")).select(F.explode("a").alias("s")).select("s.*").where("n > 0")
+    long = df.agg(F.array(*per).alias("a")).select(F.explode("a").alias("s")).select("s.*").where("n > 0")
     return long.withColumn("score", F.col("avg_tokens") * (0.5 + 0.5 * F.col("uniqueness")))
 
 
@@ -180,11 +188,11 @@ def detect_text_column(scores: DataFrame, min_tokens: float = 8.0, min_uniquenes
     return row["column"] if row else None
 
 
-def route_modality(df: DataFrame, order: list[str], forced: str | None = None) -> dict:
+def route_modality(df: DataFrame, forced: str | None = None) -> dict:
     """Text when forced or when a free-text column is found; tabular data needs a numeric column."""
     if df.isEmpty():
         return {"modality": forced or "tabular", "text_column": None, "blocked": True, "reason": "Dataset is empty."}
-    text = None if forced == "tabular" else detect_text_column(text_scores(df, order))
+    text = None if forced == "tabular" else detect_text_column(text_scores(df))
     modality = forced or ("text" if text else "tabular")
     if modality == "tabular" and not numeric_columns(df):
         return {"modality": modality, "text_column": None, "blocked": True, "reason": "No numeric columns found."}
@@ -299,7 +307,7 @@ def outlier_features(df: DataFrame, columns: list[str] | None = None) -> DataFra
 
 
 def multimodal_features(df: DataFrame, columns: list[str] | None = None, grid: int = 200, order: int = 10) -> DataFrame:
-    """Peaks of a Gaussian kernel density per feature (first 20 columns, at least 50 values).
+    """Peaks of a Gaussian kernel density per feature (with at least 50 values).
 
     Equal values are folded into one weighted row before the density sum, and
     the sum over the grid is a JVM vector aggregate.
@@ -307,7 +315,7 @@ def multimodal_features(df: DataFrame, columns: list[str] | None = None, grid: i
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    names = (columns or numeric_columns(df))[:20]
+    names = columns or numeric_columns(df)
     rows = []
     for c in names:
         x = df.select(col(c).cast("double").alias("x")).where("x is not null")

@@ -49,7 +49,7 @@ def _distinct(df: DataFrame, names: list[str], exact: bool) -> dict[str, int]:
     return counts
 
 
-def column_statistics(df: DataFrame, order: list[str], exact: bool = False, sample: int = 20) -> DataFrame:
+def column_statistics(df: DataFrame, exact: bool = False) -> DataFrame:
     """One row per column: distinct values and ratio, type flags, extremes, parsable share of the first values."""
     fields = [f for f in df.schema.fields if not f.name.startswith("_") and not isinstance(f.dataType, (T.MapType, T.VariantType))]
     counts = _distinct(df, [f.name for f in fields], exact)
@@ -75,9 +75,9 @@ def column_statistics(df: DataFrame, order: list[str], exact: bool = False, samp
     stats = df.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("s")).select("s.*")
     texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
     share = {}
-    for c in texts:
-        head = df.where(col(c).isNotNull()).orderBy(*order).limit(sample)  # the rule reads the first 20 values
-        share[c] = head.agg(F.avg(col(c).try_cast("timestamp_ntz").isNotNull().cast("double"))).first()[0]
+    if texts:  # the share of all values that parse
+        parses = [F.avg(F.when(col(c).isNotNull(), col(c).try_cast("timestamp_ntz").isNotNull().cast("double"))).alias(f"p{i}") for i, c in enumerate(texts)]
+        share = dict(zip(texts, df.agg(*parses).first()))
     parsable = F.lit(None).cast("double")
     for c, s in share.items():
         parsable = F.when(F.col("column") == c, F.lit(s)).otherwise(parsable)
@@ -120,7 +120,7 @@ def role_scores(stats: DataFrame, entity: str | None = None, timestamp: str | No
 
 def resolve_roles(df: DataFrame, order: list[str], exact: bool = False, overrides: dict[str, str] | None = None) -> tuple[Roles, dict]:
     """Pick each role; ambiguous ones fall back to their best candidate and are reported."""
-    measured = column_statistics(df, order, exact)
+    measured = column_statistics(df, exact)
     stats = df.sparkSession.createDataFrame(measured.collect(), measured.schema)  # one row per column
     picked: dict[str, str | None] = {}
     ambiguous: dict[str, list[str]] = {}

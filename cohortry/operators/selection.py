@@ -26,7 +26,6 @@ from cohortry.operators.cleaning import prepare_matrix, standardise, standardise
 VIF_THRESHOLD = 10.0
 CORRELATION_THRESHOLD = 0.85
 MAX_COMPONENTS = 50
-PREFILTER = 150
 MIN_SURVIVORS = 10
 DEFAULT_REQUEST = 55
 
@@ -46,6 +45,8 @@ def pca_importance(covariance: np.ndarray, names: list[str], components: int = M
 
 
 def explained_variance(df: DataFrame, columns: list[str], k: int = 2) -> list[float]:
+    """Shares of the first components, over the rows without a missing value."""
+    df = complete_rows(df, columns)
     values, _ = eigen_descending(standardised_covariance(df, columns))
     return [round(float(v), 4) for v in (values / (values.sum() or 1.0))[:k]]
 
@@ -140,7 +141,8 @@ def combined_rank(scores: DataFrame) -> DataFrame:
     return scores.withColumn("combined_score", combined).withColumn("rank", rank)
 
 
-def prefilter(ranked: DataFrame, keep: int = PREFILTER) -> DataFrame:
+def prefilter(ranked: DataFrame, keep: int) -> DataFrame:
+    """The ``keep`` best-ranked features."""
     return ranked.where(F.col("rank") <= keep)
 
 
@@ -149,8 +151,25 @@ def prefilter(ranked: DataFrame, keep: int = PREFILTER) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
+def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as doubles, less the rows in which one is null or NaN."""
+    return df.select(*[col(c).cast("double").alias(c) for c in columns]).dropna()
+
+
+def columns_without_gaps(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns without a null or NaN value, in order."""
+    x = [col(c).cast("double") for c in columns]
+    if not x:
+        return []
+    gaps = df.agg(*[F.count(F.when(v.isNull() | F.isnan(v), 1)).alias(f"g{i}") for i, v in enumerate(x)]).first()
+    return [c for i, c in enumerate(columns) if not gaps[i]]
+
+
 def compute_vif(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Variance inflation factor per column, largest first, from one pass over the data."""
+    """Variance inflation factor per column, largest first, from one pass over the data; columns with missing values drop out."""
+    columns = columns_without_gaps(df, columns)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "feature string, vif double")
     found = vif_from_correlation(standardised_covariance(df, columns), columns)
     rows = sorted(((n, float(v)) for n, v in found.items()), key=lambda x: (-x[1] if x[1] == x[1] else 0.0, x[0]))
     return df.sparkSession.createDataFrame(rows, "feature string, vif double")
@@ -201,7 +220,8 @@ def remove_high_vif(
 
 
 def high_correlations(df: DataFrame, columns: list[str], threshold: float = CORRELATION_THRESHOLD) -> DataFrame:
-    """Pairs with |r| at or above the threshold, 4 decimals, largest first."""
+    """Pairs with |r| at or above the threshold, 4 decimals, largest first; over the rows without a missing value."""
+    df = complete_rows(df, columns)
     return df.sparkSession.createDataFrame(
         correlated_pairs(standardised_covariance(df, columns), columns, threshold), "feature_a string, feature_b string, correlation double"
     )
@@ -301,10 +321,12 @@ def select_features(
     requested=None,
     modality: str = "tabular",
     nonlinear: bool = False,
+    keep: int | None = None,
 ) -> Selection:
-    """Scores, prefilter, rank and VIF gates, ranking, and the requested (or default) subset.
+    """Scores, rank and VIF gates, ranking, and the requested (or default) subset.
 
     ``requested`` is a list of names or a callable from the ranking rows to one.
+    ``keep`` lets only the best-ranked features into the gates.
     Text embeddings skip all of it and keep every dimension.
     """
     names = columns or numeric_columns(df, exclude=[entity])
@@ -324,7 +346,7 @@ def select_features(
     scores = spark.createDataFrame([(c, pca[c], recon[c]) for c in alive], "feature string, pca_score double, recon_error double")
     ranked = combined_rank(scores)
     order = [r["feature"] for r in ranked.orderBy("rank").collect()]
-    wide = order[:PREFILTER] if len(order) > PREFILTER else alive
+    wide = alive if keep is None else order[:keep]
     at = [alive.index(c) for c in wide]
     kept, removed, vif = remove_high_vif(
         matrix, wide, vif_threshold, min_features=MIN_SURVIVORS, covariance=covariance[np.ix_(at, at)], moments=moments

@@ -294,7 +294,7 @@ def prepare_text(
     if len(named) > 1:
         joined = join_text_columns(df, named)
     else:
-        source = named[0] if named else detect_text_column(text_scores(df, [key]), 5.0, 0.0)
+        source = named[0] if named else detect_text_column(text_scores(df), 5.0, 0.0)
         if source is None:
             raise ValueError("no free-text column found")
         joined = df.withColumn("document", F.coalesce(col(source), F.lit("")))

@@ -9,10 +9,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortry.functions.blocks import block_pairs
 from cohortry.functions.columns import col
-from cohortry.functions.vectors import matrix_of, squared_distances
+from cohortry.functions.vectors import squared_distances
 from cohortry.operators.cleaning import log_columns, log_transform
-from cohortry.session import MAX_BLOCK_BYTES, MAX_CLUSTERS, cut_lineage, take_bounded
+from cohortry.session import MAX_CLUSTERS, cut_lineage, take_bounded
 
 F1_TARGET = {"tabular": 0.70, "text": 0.60}
 FOLD_SHIFT = 52  # the top 12 bits of the hash: 4096 buckets per class
@@ -113,46 +114,23 @@ def label_codes(df: DataFrame, label: str) -> tuple[DataFrame, list]:
 def nearest_neighbour_votes(train: DataFrame, test: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """Exact k-nearest-neighbour majority vote.
 
-    Test points go out in bounded blocks; each task keeps its own k nearest per
-    test point, and the k nearest of those are taken afterwards.
+    Blocks of test and training points are compared in tasks; each keeps its own
+    k nearest per test point, and the k nearest of those are taken afterwards.
     """
-    width = vector_to_array("features")
-    d = test.select(F.size(width).alias("d")).first()["d"]
-    block = max(256, min(5_000, MAX_BLOCK_BYTES // (8 * d)))
-    total = test.count()
-    blocks = max(1, -(-total // block))
-    spark, found = test.sparkSession, None
-    for i in range(blocks):
-        part = test.select("id", width.alias("features"))
-        held = (part if blocks == 1 else part.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)).toPandas()
-        if held.empty:
-            continue
-        shipped = spark.sparkContext.broadcast(matrix_of(held))
-
-        def closest(batches, shipped=shipped):
-            q = shipped.value
-            best, marks = np.full((len(q), 0), np.inf), np.zeros((len(q), 0))
-            for pdf in batches:
-                x, y = matrix_of(pdf), pdf["y"].to_numpy()
-                for at in range(0, len(x), 1_024):
-                    dist = squared_distances(q, x[at : at + 1_024])
-                    best = np.hstack([best, dist])
-                    marks = np.hstack([marks, np.tile(y[at : at + 1_024], (len(q), 1))])
-                    if best.shape[1] > k:
-                        keep = np.argpartition(best, k - 1, axis=1)[:, :k]
-                        best, marks = np.take_along_axis(best, keep, 1), np.take_along_axis(marks, keep, 1)
-            for j in range(best.shape[1]):
-                yield pd.DataFrame({"p": np.arange(len(q)), "d": best[:, j], "y": marks[:, j]})
-
-        near = train.select(width.alias("features"), "y").mapInPandas(closest, "p long, d double, y double")
-        first = near.groupBy("p").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "y"))), 1, k).alias("n"))
-        votes = first.select("p", F.explode("n").alias("v")).groupBy("p", F.col("v.y").alias("y")).agg(F.count("*").alias("c"))
-        winner = votes.groupBy("p").agg(F.max_by("y", F.struct("c", -F.col("y"))).alias("pred"))
-        side = spark.createDataFrame(held[["id"]].assign(p=np.arange(len(held))), f"id {dict(test.dtypes)['id']}, p long")
-        done = winner.join(F.broadcast(side), "p").select("id", "pred")
-        done = cut_lineage(done) if blocks > 1 else done
-        found = done if found is None else found.unionByName(done)
-    return found
+    kind = dict(test.dtypes)["id"]
+
+    def closest(points: dict, others: dict) -> pd.DataFrame:
+        dist, y = squared_distances(points["x"], others["x"]), np.array(others["y"], dtype=float)
+        keep = np.argsort(dist, axis=1, kind="stable")[:, :k]
+        near, marks = np.take_along_axis(dist, keep, 1), y[keep]
+        return pd.DataFrame({"id": np.repeat(np.array(points["id"], dtype=object), near.shape[1]), "d": near.reshape(-1), "y": marks.reshape(-1)})
+
+    queries = test.select("id", vector_to_array("features").alias("features"))
+    known = train.select("id", vector_to_array("features").alias("features"), "y")
+    near = block_pairs(queries, known, closest, f"id {kind}, d double, y double")
+    first = near.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "y"))), 1, k).alias("n"))
+    votes = first.select("id", F.explode("n").alias("v")).groupBy("id", F.col("v.y").alias("y")).agg(F.count("*").alias("c"))
+    return votes.groupBy("id").agg(F.max_by("y", F.struct("c", -F.col("y"))).alias("pred"))
 
 
 def prepare_classes(df: DataFrame, key: str, label: str, columns: list[str]) -> tuple[DataFrame, list]:

@@ -50,7 +50,7 @@ def read_snapshots(spark, path: str) -> DataFrame:
 def stage_preview(df: DataFrame, stage: str, iteration: int, *keys: str, rows: int = PREVIEW_ROWS) -> DataFrame:
     """One row per column: missing percentage and skew, with the first values in key order."""
     numbers = set(numeric_columns(df))
-    names = df.columns[:200]
+    names = df.columns
     order = F.struct(*[col(k) for k in keys])
     parts = []
     for c in names:

@@ -2,13 +2,17 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cohortry.functions import blocks
 from cohortry.operators import metrics, refine, search
 from cohortry.operators.clustering import dbscan, fuzzy_c_means, gaussian_mixture, kmeans, ward
 from cohortry.operators.clustering.density import connected_components, neighbour_counts
 from cohortry.operators.clustering.sweep import Fit, sweep, with_masks
 from cohortry.operators.clustering.ward import ward_labels
+from cohortry.operators.validation import nearest_neighbour_votes
 
 RNG = np.random.default_rng(42)
 CENTRES = RNG.uniform(-6, 6, (4, 6))
@@ -100,8 +104,7 @@ def test_silhouette_matches_brute_force(blobs, truth):
 
 
 def test_silhouette_blocks_cover_every_point(blobs, truth, monkeypatch):
-    monkeypatch.setattr(metrics, "MAX_BLOCK_BYTES", 1)  # smallest blocks
-    monkeypatch.setattr(metrics, "max", lambda a, b: 50 if a == 256 else max(a, b), raising=False)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 7)
     got = metrics.silhouette_points(blobs.join(truth, "id"))
     assert got.count() == len(X)
     assert got.agg(F.avg("silhouette")).first()[0] == pytest.approx(brute_silhouette(X, TRUTH).mean())
@@ -152,3 +155,30 @@ def test_sizes_survive_merging(spark, blobs):
     tree = refine.start_lineage(refine.sizes_of(labels))
     merged, steps = refine.merge_tiny(blobs, labels, tree, 5)
     assert len(steps) == 1 and tree.nodes[9].merged_into is not None and merged.count() == len(X)
+
+
+def schema_of():
+    return T.StructType([T.StructField("id", T.LongType()), T.StructField("features", VectorUDT()), T.StructField("y", T.DoubleType())])
+
+
+def test_nearest_neighbours_in_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(3)
+    train, test = rng.normal(size=(60, 3)), rng.normal(size=(25, 3))
+    y = rng.integers(0, 3, 60)
+    as_vectors = lambda x, extra: spark.createDataFrame([(i, Vectors.dense(v), *e) for i, (v, e) in enumerate(zip(x, extra))], schema_of())
+    rows = nearest_neighbour_votes(as_vectors(train, [(float(v),) for v in y]), as_vectors(test, [(0.0,)] * 25), k=5).collect()
+    got = {r["id"]: r["pred"] for r in rows}
+    near = np.square(test[:, None] - train[None]).sum(axis=2).argsort(axis=1)[:, :5]
+    want = {i: float(np.bincount(y[n], minlength=3).argmax()) for i, n in enumerate(near)}
+    assert got == want
+
+
+def test_ward_over_groups_is_exact_for_few_rows(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(20, 2)) + c for c in ((0, 0), (8, 0), (0, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    got = {r["id"]: r["cluster_id"] for r in ward(df, 3).collect()}
+    want = ward_labels(x, np.ones(len(x)), 3)
+    assert len(got) == 60 and len({(got[i], int(want[i])) for i in range(60)}) == 3
+    assert ward(df.limit(0), 3).collect() == []

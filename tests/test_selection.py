@@ -103,3 +103,12 @@ def test_cleaning_thresholds(spark):
 def test_unit_rows_keep_zero_rows(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "id int, features array<double>")
     assert [r["features"] for r in cleaning.unit_rows(df).orderBy("id").collect()] == [[0.6, 0.8], [0.0, 0.0]]
+
+
+def test_missing_values_do_not_end_a_run(spark):
+    rows = [(float(i), float(i * i % 7), None if i % 5 == 0 else float(i % 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    assert len(selection.explained_variance(df, ["a", "b", "c"])) == 2
+    assert [r["feature"] for r in selection.compute_vif(df, ["a", "b", "c"]).collect()] and "c" not in {r["feature"] for r in selection.compute_vif(df, ["a", "b", "c"]).collect()}
+    assert selection.high_correlations(df, ["a", "b", "c"], 0.0).count() == 3
+    assert selection.compute_vif(df, ["c"]).collect() == []
