@@ -38,12 +38,12 @@ def shape(labels: DataFrame) -> DataFrame:
 
 @query("K01_kmeans")
 def _(t: Tables):
-    return shape(kmeans(customers(t), 4, restarts=3))
+    return shape(kmeans(customers(t), 4, restarts=15))
 
 
 @query("K01_kmeans_cosine")
 def _(t: Tables):
-    return shape(kmeans(embedded(t).select("id", "features"), 10, restarts=2, metric="cosine"))
+    return shape(kmeans(embedded(t).select("id", "features"), 10, restarts=15, metric="cosine"))
 
 
 @query("K02_ward")
@@ -84,7 +84,7 @@ def _(t: Tables):
 
 @query("K04_gaussian_mixture")
 def _(t: Tables):
-    return shape(gaussian_mixture(customers(t), 3, restarts=1))
+    return shape(gaussian_mixture(customers(t), 3, restarts=5))
 
 
 @query("K05_fuzzy_c_means")
@@ -94,7 +94,7 @@ def _(t: Tables):
 
 @query("K08_optimise_k")
 def _(t: Tables):
-    return rounded(search.optimise_k(customers(t), "kmeans", (3, 4, 5), restarts=1), 4)
+    return rounded(search.optimise_k(customers(t), "kmeans"), 4)
 
 
 # a table of measures per k, derived from the parts: size plays k
@@ -148,13 +148,13 @@ def _(t: Tables):
 
 @query("K10_tournament")
 def _(t: Tables):
-    return rounded(search.tournament(customers(t), ("kmeans", "hierarchical"), (3, 4), repeats=1, restarts=2), 4)
+    return rounded(search.tournament(customers(t), search.TOURNAMENT, (3, 4, 5), repeats=1), 4)
 
 
 @query("K11_stability")
 def _(t: Tables):
     data = customers(t)
-    value = search.stability("kmeans", data, kmeans(data, 4, restarts=1), 4, repeats=2, restarts=1)
+    value = search.stability("kmeans", data, kmeans(data, 4), 4)
     return t.spark.createDataFrame([(value,)], "stability_ari double")
 
 
@@ -171,7 +171,7 @@ def _(t: Tables):
 def _(t: Tables):
     data = customers(t)
     labels = data.select("id", F.when(F.element_at("features", 1) > 1, 0).otherwise(1).alias("cluster_id"))
-    placed, tree = refine.deepen(data, labels, "kmeans", cap=0.4, sub_k=3, max_depth=2, restarts=1)
+    placed, tree = refine.deepen(data, labels, "kmeans", cap=0.4, sub_k=3, max_depth=2)
     return tree.table(t.spark).select("cluster_id", "parent", "depth", "pct_total", "pct_of_parent")
 
 
@@ -237,14 +237,14 @@ def _(t: Tables):
 @query(
     "K17_quality_gate",
     """WITH c AS (SELECT p_brand AS clustering, avg(p_size) / 50 AS silhouette, count(DISTINCT p_type) AS n_labels FROM part GROUP BY p_brand
-         UNION ALL SELECT p_name, (min(p_size) - 1.0) / 20, 1 FROM part WHERE p_size > 40 GROUP BY p_name)
+         UNION ALL SELECT p_name, (min(p_size) - 1.0) / 20, 1 FROM part GROUP BY p_name)
        SELECT clustering, CASE WHEN silhouette >= 0.5 THEN 'strong' WHEN silhouette >= 0.25 THEN 'reasonable' WHEN silhouette >= 0.1 THEN 'weak but usable' ELSE 'low' END AS quality,
          CASE WHEN n_labels < 2 OR silhouette < 0.2 THEN 'blocked' WHEN silhouette >= 0.5 THEN 'success' ELSE 'warning' END AS status,
          CASE WHEN n_labels < 2 OR silhouette < 0.2 THEN 'reselect_features' ELSE 'proceed' END AS action FROM c""",
 )
 def _(t: Tables):
     brands = t.part.groupBy(F.col("p_brand").alias("clustering")).agg((F.avg("p_size") / 50).alias("silhouette"), F.count_distinct("p_type").alias("n_labels"))
-    names = t.part.where("p_size > 40").groupBy(F.col("p_name").alias("clustering")).agg(((F.min("p_size") - 1.0) / 20).alias("silhouette")).withColumn("n_labels", F.lit(1).cast("long"))
+    names = t.part.groupBy(F.col("p_name").alias("clustering")).agg(((F.min("p_size") - 1.0) / 20).alias("silhouette")).withColumn("n_labels", F.lit(1).cast("long"))
     return refine.clustering_gate(brands.unionByName(names), 0.2, 0.5).select("clustering", "quality", "status", "action")
 
 

@@ -142,7 +142,7 @@ def _(t: Tables):
 @query(
     "B08_timeline",
     f"""WITH a AS (SELECT CAST(replace(p_brand, 'Brand#', '') AS INT) AS run, avg(p_size) / 50 AS cv_f1_macro, count(*) AS n_clusters FROM part GROUP BY 1),
-        d AS (SELECT CAST(replace(p_brand, 'Brand#', '') AS INT) AS run, avg(p_retailprice) / 2000 AS ari FROM part WHERE p_size > 25 GROUP BY 1),
+        d AS (SELECT CAST(replace(p_brand, 'Brand#', '') AS INT) AS run, avg(p_retailprice) / 2000 AS ari FROM part GROUP BY 1),
         v AS (SELECT CAST(replace(p_brand, 'Brand#', '') AS INT) AS run, count(*) AS n_critiques, count(*) FILTER (WHERE p_size % 2 = 0) AS n_accepted, count(*) FILTER (WHERE p_size % 2 = 1) AS n_rejected FROM part WHERE p_type = 'ECONOMY' GROUP BY 1)
         SELECT a.run, {r('cv_f1_macro', 4)} AS cv_f1_macro, n_clusters, {r('ari', 4)} AS ari, coalesce(n_critiques, 0) AS n_critiques, coalesce(n_accepted, 0) AS n_accepted, coalesce(n_rejected, 0) AS n_rejected,
                {r('n_accepted * 1.0 / n_critiques', 4)} AS accept_rate FROM a LEFT JOIN d ON d.run = a.run LEFT JOIN v ON v.run = a.run""",
@@ -150,7 +150,7 @@ def _(t: Tables):
 def _(t: Tables):
     run = F.regexp_replace("p_brand", "Brand#", "").cast("int").alias("run")
     measured = t.part.groupBy(run).agg((F.avg("p_size") / 50).alias("cv_f1_macro"), F.count("*").alias("n_clusters"))
-    diffs = t.part.where("p_size > 25").groupBy(run).agg((F.avg("p_retailprice") / 2000).alias("ari"))
+    diffs = t.part.groupBy(run).agg((F.avg("p_retailprice") / 2000).alias("ari"))
     even = F.col("p_size") % 2
     reviews = t.part.where("p_type = 'ECONOMY'").groupBy(run).agg(
         F.count("*").alias("n_critiques"), F.count(F.when(even == 0, 1)).alias("n_accepted"), F.count(F.when(even == 1, 1)).alias("n_rejected")
@@ -158,16 +158,16 @@ def _(t: Tables):
     return rounded(runs.timeline(measured, diffs, reviews), 4)
 
 
-# -- case memory: a case per supplier, its columns the brands it ships in bulk -----------
+# -- case memory: a case per supplier, its columns the brands it ships -----------
 
 BRANDS = [f"brand {i}" for i in range(1, 16)]
-CASES = """cs AS (SELECT l_suppkey AS seq, list(DISTINCT lower(replace(p_brand, '#', ''))) AS cols, count(*) AS n_rows FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 40 GROUP BY l_suppkey),
+CASES = """cs AS (SELECT l_suppkey AS seq, list(DISTINCT lower(replace(p_brand, '#', ''))) AS cols, count(*) AS n_rows FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey),
 cur AS (SELECT [replace(x, ' ', '') for x in list_transform(range(1, 16), lambda i: 'brand ' || CAST(i AS VARCHAR))] AS c),
 mt AS (SELECT seq, n_rows, len(list_intersect(cols, c)) * 1.0 / len(list_distinct(list_concat(cols, c))) AS j, abs(110 - n_rows) * 1.0 / n_rows AS d FROM cs, cur)"""
 
 
 def supplier_cases(t: Tables) -> DataFrame:
-    shipped = t.lineitem.where("l_quantity > 40").join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    shipped = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
     per = shipped.groupBy(F.col("l_suppkey").alias("seq")).agg(F.collect_set("p_brand").alias("columns"), F.count("*").alias("n_rows"))
     return per.select("seq", F.concat(F.lit("case-"), F.col("seq").cast("string")).alias("case_id"), "columns", "n_rows", F.lit("").alias("purpose"))
 
@@ -198,7 +198,7 @@ def _(t: Tables):
 @query(
     "A02_save_case",
     """WITH cs AS (SELECT l_suppkey AS seq, 'case-' || CAST(l_suppkey AS VARCHAR) AS case_id, list_sort(list(DISTINCT p_brand)) AS cols, count(*) AS n_rows FROM lineitem JOIN part ON p_partkey = l_partkey
-         WHERE l_quantity > 40 GROUP BY l_suppkey),
+         GROUP BY l_suppkey),
        nw AS (SELECT * FROM cs WHERE seq = (SELECT max(seq) FROM cs)),
        hit AS (SELECT min(cs.seq) AS seq FROM cs, nw WHERE len(list_intersect(cs.cols, nw.cols)) * 1.0 / len(list_distinct(list_concat(cs.cols, nw.cols))) >= 0.9
                 AND abs(nw.n_rows - cs.n_rows) * 1.0 / greatest(cs.n_rows, 1) <= 0.1)
@@ -299,16 +299,14 @@ def _(t: Tables):
 @query(
     "H03_preference_lines",
     f"""WITH {RULES}, x AS (SELECT ru.*, event_type FROM ru JOIN events e ON e.event_id = ru.event_id WHERE place <= 25),
-        h AS (SELECT *, '  - [' || upper(priority) || '] ' || substr(date, 1, 10) || ' | ' AS head, CASE WHEN user_id % 3 = 0 THEN 'NATION_' || CAST(user_id % 40 AS VARCHAR) ELSE CAST(user_id AS VARCHAR) END AS target FROM x)
-        SELECT CAST(place AS INT) AS place, 0 AS part, CASE type
-          WHEN 'manual_override' THEN head || 'cluster "' || target || '": user set name = "' || event_type || '" (was "old")'
-          WHEN 'naming_hint' THEN head || 'cluster "' || target || '": user requested — "Rule ' || CAST(user_id AS VARCHAR) || ' says ' || event_type || '"'
-          WHEN 'merge' THEN head || 'user merged clusters [''' || CAST(user_id AS VARCHAR) || ''', ''' || (props ->> '$.k') || '''] into "' || target || '"'
-          ELSE head || 'GLOBAL RULE: "Rule ' || CAST(user_id AS VARCHAR) || ' says ' || event_type || '"' END AS line FROM h""",
+        h AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN 'NATION_' || CAST(user_id % 40 AS VARCHAR) ELSE CAST(user_id AS VARCHAR) END AS target FROM x)
+        SELECT CAST(place AS INT) AS place, 0 AS part, priority, substr(date, 1, 10) AS "day", type, target, CASE WHEN type = 'manual_override' THEN 'name' END AS "key",
+          CASE WHEN type = 'manual_override' THEN 'old' END AS "before",
+          CASE type WHEN 'manual_override' THEN event_type WHEN 'merge' THEN target ELSE 'Rule ' || CAST(user_id AS VARCHAR) || ' says ' || event_type END AS "after" FROM h""",
 )
 def _(t: Tables):
     rules = feedback.active_rules(feedback.append(None, entries(t)))
-    return feedback.preference_lines(rules).select(F.col("place").cast("int").alias("place"), F.col("part").cast("int").alias("part"), "line")
+    return feedback.preference_rows(rules).withColumns({"place": F.col("place").cast("int"), "part": F.col("part").cast("int")}).drop("merged_ids")
 
 
 @query(

@@ -179,3 +179,40 @@ def _(t: Tables):
 def _(t: Tables):
     values = selection.explained_variance(t.lineitem, profiling.numeric_columns(t.lineitem))
     return t.spark.createDataFrame([(i + 1, v) for i, v in enumerate(values)], "component int, ratio double")
+
+
+# labels cover some documents: the joined columns have gaps
+def _labelled(t: Tables):
+    return t.documents.select("doc_id", "n_chars").join(t.labels.select("doc_id", "quality", "toxic"), "doc_id", "left")
+
+
+_GAPS = "d AS (SELECT documents.doc_id, n_chars, quality, toxic FROM documents LEFT JOIN labels ON labels.doc_id = documents.doc_id), c AS (SELECT * FROM d WHERE quality IS NOT NULL AND n_chars IS NOT NULL)"
+
+
+@query(
+    "P18_explained_variance_with_gaps",
+    f"""WITH {_GAPS}, v AS (SELECT abs(corr(n_chars, quality)) AS a FROM c)
+        SELECT 1 AS component, {r('round((1 + a) / 2, 4)', 4)} AS ratio FROM v UNION ALL SELECT 2, {r('round((1 - a) / 2, 4)', 4)} FROM v""",
+)
+def _(t: Tables):
+    values = selection.explained_variance(_labelled(t), ["n_chars", "quality"])
+    return rounded(t.spark.createDataFrame([(i + 1, v) for i, v in enumerate(values)], "component int, ratio double"), 4)
+
+
+@query(
+    "L05_vif_with_gaps",
+    f"""WITH {_GAPS}, x AS (SELECT corr(doc_id, n_chars) AS a FROM d)
+        SELECT 'doc_id' AS feature, {r('1 / (1 - a ^ 2)')} AS vif FROM x UNION ALL SELECT 'n_chars', {r('1 / (1 - a ^ 2)')} FROM x""",
+)
+def _(t: Tables):
+    return rounded(selection.compute_vif(_labelled(t), ["doc_id", "n_chars", "quality", "toxic"]))
+
+
+@query(
+    "L08_high_correlations_with_gaps",
+    f"""WITH {_GAPS}, p AS (SELECT 'n_chars' AS feature_a, 'quality' AS feature_b, corr(n_chars, quality) AS v FROM c UNION ALL SELECT 'n_chars', 'toxic', corr(n_chars, toxic) FROM c
+          UNION ALL SELECT 'quality', 'toxic', corr(quality, toxic) FROM c)
+        SELECT feature_a, feature_b, {r('round(abs(v), 4)', 4)} AS correlation FROM p""",
+)
+def _(t: Tables):
+    return rounded(selection.high_correlations(_labelled(t), ["n_chars", "quality", "toxic"], 0.0), 4)

@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.columns import col
+from cohortry.session import cut_lineage
 
 BUCKETS = 4_096
 ONE_PASS_ROWS = 5_000_000
 HOT_GROUP_ROWS = 2_000_000
+WINDOW_ROWS = 100_000
 
 
 def exact_quantiles(
@@ -119,30 +121,29 @@ def group_medians(
     return cold.unionByName(result)
 
 
-def _hot_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    x = df.select(*keys, col(value).cast("double").alias("_x"))
+def _hot_medians(df: DataFrame, keys: list[str], value: str, window_rows: int | None = None) -> DataFrame:
+    """Medians of few large groups, each between two values that close in on its middle ranks.
+
+    A round counts the values between them into buckets and goes on with the bucket that holds the rank; the ends of a
+    range never share a bucket, so every round shrinks it. Ranges of ``window_rows`` rows at most are sorted.
+    """
+    limit = WINDOW_ROWS if window_rows is None else window_rows
+    x = df.select(*keys, col(value).cast("double").alias("_x")).where("_x is not null")
     ends = x.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("_x").alias("_n"))
-    placed = x.where("_x is not null").join(F.broadcast(ends), keys)
-    share = (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    bucket = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))).otherwise(F.lit(0))
-    placed = placed.withColumn("_b", bucket.cast("int"))
-    upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = (
-        placed.groupBy(*keys, "_b")
-        .agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
-        .withColumn("_below", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
-    )
-    middles = hist.withColumn(
-        "_rank",
-        F.explode(F.array_distinct(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)))),
-    ).where((F.col("_rank") >= F.col("_below")) & (F.col("_rank") < F.col("_below") + F.col("_c")))
-    wanted = middles.select(*keys, "_b", "_rank", "_below")
-    counts = placed.groupBy(*keys, "_b", "_x").agg(F.count("*").alias("_c"))
-    running = Window.partitionBy(*keys, "_b", "_rank").orderBy("_x")
-    located = (
-        counts.join(F.broadcast(wanted), [*keys, "_b"])
-        .withColumn("_end", F.col("_below") + F.sum("_c").over(running))
-        .where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_c")))
-    )
+    rank = F.explode(F.array_distinct(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)))).alias("_rank")
+    targets = cut_lineage(ends.select(*keys, rank, "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_c")))
+    inside = F.col("_x").between(F.col("_lo"), F.col("_hi"))
+    upto = Window.partitionBy(*keys, "_rank").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    while not targets.where((F.col("_c") > limit) & (F.col("_lo") < F.col("_hi"))).isEmpty():
+        placed = x.join(F.broadcast(targets.drop("_c")), keys).where(inside)  # two targets per hot group
+        share = (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        bucket = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))).otherwise(F.lit(0))
+        hist = placed.groupBy(*keys, "_rank", "_below", bucket.cast("int").alias("_b")).agg(F.count("*").alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        summed = hist.withColumn("_below", F.col("_below") + F.coalesce(F.sum("_c").over(upto), F.lit(0)))
+        holds = (F.col("_rank") >= F.col("_below")) & (F.col("_rank") < F.col("_below") + F.col("_c"))
+        targets = cut_lineage(summed.where(holds).select(*keys, "_rank", "_lo", "_hi", "_below", "_c"))
+    counts = x.join(F.broadcast(targets.drop("_c")), keys).where(inside).groupBy(*keys, "_rank", "_below", "_x").agg(F.count("*").alias("_c"))
+    running = Window.partitionBy(*keys, "_rank").orderBy("_x")
+    located = counts.withColumn("_end", F.col("_below") + F.sum("_c").over(running)).where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_c")))
     resolved = located.groupBy(*keys).agg(F.avg("_x").alias("_median"))
     return df.select(*keys).distinct().join(resolved, keys, "left")

@@ -73,14 +73,17 @@ NEIGHBOURS = 5
 FOURIER_FEATURES = 128
 
 
-def build_estimator(name: str, seed: int = 42, trees: int = 200):
-    """A Spark estimator for the named model; unknown names mean the forest."""
+def build_estimator(name: str, seed: int = 42, trees: int = 200, rows: int | None = None):
+    """A Spark estimator for the named model; unknown names mean the forest.
+
+    ``rows`` scales the logistic model's penalty, which is one over all rows.
+    """
     family = MODELS.get(str(name).lower(), "forest")
     shared = {"featuresCol": "features", "labelCol": "y", "predictionCol": "pred"}
     if family == "boosted":
-        return OneVsRest(classifier=GBTClassifier(featuresCol="features", maxIter=max(5, trees // 4), maxDepth=5, seed=seed), **shared)
+        return OneVsRest(classifier=GBTClassifier(featuresCol="features", maxIter=trees, maxDepth=5, seed=seed), **shared)
     if family == "logistic":
-        return LogisticRegression(maxIter=200, standardization=True, **shared)
+        return LogisticRegression(maxIter=200, standardization=True, regParam=1.0 / rows if rows else 0.0, **shared)
     if family == "bayes":
         return NaiveBayes(modelType="gaussian", **shared)
     if family == "kernel":
@@ -148,14 +151,15 @@ def cross_validate(df: DataFrame, key: str, label: str, columns: list[str], mode
     if family == "kernel":
         prepared = fourier_features(prepared, seed=seed)
     placed = stratified_folds(prepared, "id", "y", folds, seed).persist()
-    k = placed.agg(F.max("fold")).first()[0] + 1
+    top = placed.agg(F.max("fold").alias("k"), F.count("*").alias("n")).first()
+    k = top["k"] + 1
     out = None
     for i in range(k):
         train, test = placed.where(F.col("fold") != i), placed.where(F.col("fold") == i)
         if family == "neighbours":
             done = test.select("id", "y").join(nearest_neighbour_votes(train, test), "id")
         else:
-            done = build_estimator(model, seed, trees).fit(train).transform(test).select("id", "y", "pred")
+            done = build_estimator(model, seed, trees, top["n"]).fit(train).transform(test).select("id", "y", "pred")
         out = done if out is None else out.unionByName(done)
     result = cut_lineage(out)
     placed.unpersist()
@@ -167,7 +171,7 @@ def feature_importances(df: DataFrame, key: str, label: str, columns: list[str],
     prepared, _ = prepare_classes(df, key, label, columns)
     values = np.zeros(len(columns))
     if MODELS.get(model, "forest") in ("forest", "boosted", "logistic"):
-        fitted = build_estimator(model, seed, trees).fit(prepared)
+        fitted = build_estimator(model, seed, trees, prepared.count()).fit(prepared)
         if hasattr(fitted, "featureImportances"):
             values = fitted.featureImportances.toArray()
         elif hasattr(fitted, "coefficientMatrix"):

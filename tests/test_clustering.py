@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from cohortry.functions import blocks
 from cohortry.operators import metrics, refine, search
-from cohortry.operators.clustering import dbscan, fuzzy_c_means, gaussian_mixture, kmeans, ward
+from cohortry.operators.clustering import dbscan, density, fuzzy_c_means, gaussian_mixture, kmeans, ward
 from cohortry.operators.clustering.density import connected_components, neighbour_counts
 from cohortry.operators.clustering.sweep import Fit, sweep, with_masks
 from cohortry.operators.clustering.ward import ward_labels
@@ -182,3 +182,16 @@ def test_ward_over_groups_is_exact_for_few_rows(spark):
     want = ward_labels(x, np.ones(len(x)), 3)
     assert len(got) == 60 and len({(got[i], int(want[i])) for i in range(60)}) == 3
     assert ward(df.limit(0), 3).collect() == []
+
+
+def test_a_crowded_cell_spreads_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(density, "CHUNK", 16)
+    rng = np.random.default_rng(6)
+    x = rng.random((300, 2)) * 0.5  # one cell of side 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    got = {r["rep"]: r["neighbours"] for r in neighbour_counts(df, 0.1, 5).collect()}
+    gaps = np.square(x[:, None] - x[None]).sum(axis=2)
+    assert got == {i: int((gaps[i] <= 0.01).sum()) for i in range(300)}
+    pairs = density._touching(density._chunked(density._grid(df, 1.0, 2), []), half=False)
+    per_task = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) == 8 and max(per_task) < sum(per_task) / 3

@@ -75,6 +75,27 @@ def test_feedback_rejects_unknown_types(spark):
     assert row["id"].startswith("fb_") and row["priority"] == "medium" and row["active"]
 
 
+def test_equal_feedback_gets_ids_of_its_own(spark):
+    twice = spark.createDataFrame([("merge", "x"), ("merge", "x")], "type string, hint string")
+    first, again = feedback.append(None, twice), feedback.append(None, twice)
+    ids = [r["id"] for r in first.collect()] + [r["id"] for r in again.collect()]
+    assert len(set(ids)) == 4
+
+
+def test_preference_rows_split_an_override(spark):
+    schema = "id string, type string, priority string, date string, place int, hint string, rule string, target_cluster_id string, target_cluster_name string, merged_ids array<string>, before map<string,string>, after map<string,string>"
+    rows = [
+        ("a", "manual_override", "high", "2024-01-02T03:04:05", 1, None, None, "7", "", None, {"name": "old", "same": "x"}, {"name": "new", "same": "x", "tag": "t"}),
+        ("b", "global_rule", "low", None, 2, None, " short names ", None, None, None, None, None),
+    ]
+    got = [tuple(r) for r in feedback.preference_rows(spark.createDataFrame(rows, schema)).orderBy("place", "part").collect()]
+    assert got == [
+        (1, 0, "high", "2024-01-02", "manual_override", "7", "name", "old", "new", None),
+        (1, 1, "high", "2024-01-02", "manual_override", "7", "tag", None, "t", None),
+        (2, 0, "low", None, "global_rule", None, None, None, "short names", None),
+    ]
+
+
 def test_nothing_kept_means_all_kept(spark):
     rules = spark.createDataFrame([("a",), ("b",)], "id string")
     kept, ledger = feedback.apply_decisions(rules, spark.createDataFrame([("a", "drop"), ("b", "drop")], "id string, action string"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.algebra import beta_tail, dependent_columns, triangular_factor, vif_from_correlation
 from cohortry.functions.moments import column_moments
+from cohortry.functions import quantiles
 from cohortry.functions.quantiles import exact_quantiles
 from cohortry.operators import cleaning, selection
 
@@ -112,3 +113,12 @@ def test_missing_values_do_not_end_a_run(spark):
     assert [r["feature"] for r in selection.compute_vif(df, ["a", "b", "c"]).collect()] and "c" not in {r["feature"] for r in selection.compute_vif(df, ["a", "b", "c"]).collect()}
     assert selection.high_correlations(df, ["a", "b", "c"], 0.0).count() == 3
     assert selection.compute_vif(df, ["c"]).collect() == []
+
+
+def test_hot_medians_close_in_on_a_heavy_tail(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "WINDOW_ROWS", 20)
+    rng = np.random.default_rng(8)
+    groups = {"tail": np.concatenate([np.exp(rng.normal(0, 1e-3, 501)), [1e12, -1e12]]), "same": np.full(300, 3.5), "even": rng.normal(size=400), "few": np.array([1.0, 9.0])}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("tail", None)]
+    got = {r["g"]: r["m"] for r in quantiles.group_medians(spark.createDataFrame(rows, "g string, v double"), ["g"], {"m": "v"}, hot_rows=100).collect()}
+    assert got == {g: pytest.approx(float(np.median(v)), abs=1e-12) for g, v in groups.items()}
