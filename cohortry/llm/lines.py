@@ -19,8 +19,8 @@ from cohortry.llm.common import stored
 
 DISTANCE = 2
 MIN_CHARS = 20
-#: Rows of (document, hash) that may be broadcast when candidate lines are fetched: 24 bytes each; beyond it, a shuffle.
-MAX_BROADCAST_ROWS = 100_000
+#: Places of candidate lines (some 70 bytes each) that may be broadcast to fetch their texts; beyond it, a shuffle.
+MAX_BROADCAST_ROWS = 500_000
 
 
 def segment_keys(line: Column, distance: int) -> tuple[Column, Column]:
@@ -95,6 +95,12 @@ def characters(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0))
 
 
+def near_lines(longer: Column, shorter: Column, distance: int) -> Column:
+    """``within`` for two lines; a one-element array binds their characters, which would else be taken anew at every step."""
+    pair = F.array(F.struct(characters(longer).alias("x"), characters(shorter).alias("y")))
+    return F.get(F.transform(pair, lambda p: within(p["x"], p["y"], distance)), F.lit(0))
+
+
 def text_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """Lines of at least ``min_chars`` characters: key, t (hash of the text), pos, line."""
     return docs.select("key", "t", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") >= min_chars)
@@ -119,18 +125,17 @@ def removed_lines(docs: DataFrame, distance: int, min_chars: int) -> DataFrame:
 
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
     firsts = stored(distinct.select("id", "id2", "first").join(wanted, "id"), "line-firsts")
-    places = firsts.select("id", "id2", "first", F.col("first.key").alias("key"), F.col("first.t").alias("t"), F.col("first.pos").alias("pos"))
-    in_docs = places.select(F.col("key").alias("k"), F.col("t").alias("t2")).distinct()
-    if in_docs.count() <= MAX_BROADCAST_ROWS:
-        in_docs = F.broadcast(in_docs)
-    texts = text_lines(docs.join(in_docs, F.col("key").eqNullSafe(F.col("k")) & (F.col("t") == F.col("t2")), "left_semi"), min_chars)
-    chars = texts.select(*line_id, here.alias("first"), characters(F.col("line")).alias("chars")).join(firsts, ["id", "id2", "first"], "left_semi").dropDuplicates(["id", "id2"])
-    left = chars.select(F.col("id").alias("a"), F.col("id2").alias("a2"), F.col("first").alias("a_first"), F.col("chars").alias("a_chars"))
-    right = chars.select(F.col("id").alias("b"), F.col("id2").alias("b2"), F.col("first").alias("b_first"), F.col("chars").alias("b_chars"))
-    both = pairs.join(left, "a").join(right, "b").where(F.abs(F.size("a_chars") - F.size("b_chars")) <= distance)
-    a_longer = F.size("a_chars") >= F.size("b_chars")
-    both = both.withColumn("longer", F.when(a_longer, F.col("a_chars")).otherwise(F.col("b_chars"))).withColumn("shorter", F.when(a_longer, F.col("b_chars")).otherwise(F.col("a_chars")))
-    near = both.where(within(F.col("longer"), F.col("shorter"), distance))
+    places = firsts.select("id", "id2", "first", F.col("first.key").alias("k"), F.col("first.t").alias("t2"), F.col("first.pos").alias("pos2"))
+    if places.count() <= MAX_BROADCAST_ROWS:
+        places = F.broadcast(places)
+    here_too = F.col("key").eqNullSafe(F.col("k")) & (F.col("t") == F.col("t2")) & (F.col("pos") == F.col("pos2"))
+    texts = lines.join(places, here_too).select("id", "id2", "first", "line").dropDuplicates(["id", "id2"])
+    left = texts.select(F.col("id").alias("a"), F.col("id2").alias("a2"), F.col("first").alias("a_first"), F.col("line").alias("a_line"))
+    right = texts.select(F.col("id").alias("b"), F.col("id2").alias("b2"), F.col("first").alias("b_first"), F.col("line").alias("b_line"))
+    both = pairs.join(left, "a").join(right, "b").where(F.abs(F.length("a_line") - F.length("b_line")) <= distance)
+    a_longer = F.length("a_line") >= F.length("b_line")
+    longer, shorter = (F.when(c, F.col("a_line")).otherwise(F.col("b_line")) for c in (a_longer, ~a_longer))
+    near = both.where(near_lines(longer, shorter, distance))
     earlier = near.select(
         F.when(F.col("a_first") < F.col("b_first"), F.struct(F.col("b").alias("id"), F.col("b2").alias("id2"), F.col("a_first").alias("since"))).otherwise(F.struct(F.col("a").alias("id"), F.col("a2").alias("id2"), F.col("b_first").alias("since"))).alias("x")
     ).select("x.*")
