@@ -7,15 +7,19 @@ or unigram scores, and byte fallback for what no piece covers. The normaliser's
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 import re
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +30,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Runs of text (white space, then what follows) whose ids an encoder remembers; beyond that it starts anew.
-REMEMBERED_RUNS = 300_000
+REMEMBERED_RUNS = 200_000
 BATCH_CHARS = 1 << 20
 
 
@@ -142,8 +146,7 @@ class Codec:
         self.tokenizer = rebuild(self.model)
         inner = re.compile(f"[^{SPACE}]{SPACE}")
         self.cut = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if not any(inner.search(p) for p, _, _ in self.model.pieces) else None
-        self.known: dict[str, list[int]] = {}
-        self.lost: set[str] = set()
+        self._forget()
         # pieces that stand for themselves may hold white space or depend on their neighbours
         if any(kind == USER_DEFINED for _, _, kind in self.model.pieces):
             self.cut = None
@@ -151,6 +154,12 @@ class Codec:
         self.unknown = next((i for i, p in enumerate(self.model.pieces) if p[2] == UNKNOWN), 0)
         self.bytes = np.array([p[2] == BYTE for p in self.model.pieces])
 
+    def _forget(self) -> None:
+        self.number: dict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)  # of run i: ids[ends[i]:ends[i + 1]]
+        self.lost: set[str] = set()
+
     def normalise(self, text: str) -> str:
         """The text as the model sees it, white space marked."""
         if self.tokenizer.normalizer is not None:
@@ -161,39 +170,40 @@ class Codec:
             text = " " + text
         return text.replace(" ", SPACE)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         marked = [self.normalise(t) for t in texts]
         if self.cut is None:
-            return [e.ids for e in self._batch(marked)]
+            return [np.array(e.ids, np.int32) for e in self._batch(marked)]
         out = []
         for begin, end in chunks(list(map(len, marked)), BATCH_CHARS):
-            runs = [self.cut.findall(t) for t in marked[begin:end]]
-            if len(self.known) > REMEMBERED_RUNS:
-                self.known.clear()
-                self.lost.clear()
-            new = list(dict.fromkeys(r for text in runs for r in text if r not in self.known))
-            encoded = [e.ids for e in self._batch(new)]
-            self.known.update(zip(new, encoded))
-            self.lost.update(run for run, back in zip(new, self._texts(encoded)) if back != run.replace(SPACE, " "))
-            for text in runs:
-                ids: list[int] = []
-                for run in text:
-                    ids += self.known[run]
-                out.append(ids)
+            if len(self.number) > REMEMBERED_RUNS:
+                self._forget()
+            known = len(self.number)
+            numbers = [np.fromiter(map(self.number.__getitem__, self.cut.findall(t)), np.int64) for t in marked[begin:end]]
+            if len(self.number) > known:
+                new = list(itertools.islice(reversed(self.number), len(self.number) - known))[::-1]
+                found = [e.ids for e in self._batch(new)]
+                self.lost.update(run for run, back in zip(new, self._texts(found)) if back != run.replace(SPACE, " "))
+                lengths = np.fromiter(map(len, found), np.int64, len(found))
+                self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths.sum()))])
+                self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+            for at in numbers:
+                n = self.ends[at + 1] - self.ends[at]
+                out.append(self.ids[np.arange(n.sum()) + np.repeat(self.ends[at] - (np.cumsum(n) - n), n)])
         return out
 
     def _batch(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
+    def decode(self, ids: list) -> list[str]:
         """Texts of ids; bytes that are no UTF-8 become U+FFFD, the marker before the first word goes."""
-        spoken = [[i for i in one if i not in self.silent] for one in ids]
+        spoken = [[int(i) for i in one if int(i) not in self.silent] for one in ids]
         return [t[1:] if self.model.dummy_prefix and t.startswith(" ") else t for t in self._texts(spoken)]
 
     def _texts(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
-    def restores(self, text: str, ids: list[int]) -> bool:
+    def restores(self, text: str, ids) -> bool:
         """Whether decoding ``ids``, just encoded from ``text``, gives the normalised text back.
 
         False where an unknown piece stands for a character. Runs decode on their own, as an encoded run holds whole
@@ -201,10 +211,16 @@ class Codec:
         """
         seen = self.normalise(text)
         if self.cut is None:
-            return self._texts([ids])[0] == seen.replace(SPACE, " ")
+            return self._texts([[int(i) for i in ids]])[0] == seen.replace(SPACE, " ")
         return not self.lost or self.lost.isdisjoint(self.cut.findall(seen))
 
 
+@functools.cache
+def codec_of(path: str, threads: int) -> Codec:
+    """One codec per Python process: tasks that reuse a worker reuse its model and runs."""
+    return Codec(path, threads)
+
+
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", threads: int = 1, with_ids: bool = True) -> DataFrame:
     """Per row: key, n_tokens, n_bytes (byte pieces), n_unknown, ids_crc32 (ids as little-endian uint32), restored, ids.
 
@@ -214,21 +230,20 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, threads)
+        codec = codec_of(path, threads)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for begin, end in chunks([len(t) for t in texts], 8 * BATCH_CHARS):
-                part = texts[begin:end]
+            lengths = [n or 0 for n in pc.utf8_length(batch.column(1)).to_pylist()]
+            for begin, end in chunks(lengths, BATCH_CHARS):
+                part = [t or "" for t in batch.column(1).slice(begin, end - begin).to_pylist()]
                 ids = codec.encode(part)
-                arrays = [np.array(i, np.uint32) for i in ids]
                 columns = [
                     batch.column(0).slice(begin, end - begin),
                     pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array([int(codec.bytes[a].sum()) for a in arrays], pa.int64()),
-                    pa.array([int((a == codec.unknown).sum()) for a in arrays], pa.int64()),
-                    pa.array([zlib.crc32(a.astype("<u4").tobytes()) for a in arrays], pa.int64()),
+                    pa.array([int(codec.bytes[a].sum()) for a in ids], pa.int64()),
+                    pa.array([int((a == codec.unknown).sum()) for a in ids], pa.int64()),
+                    pa.array([zlib.crc32(a.astype("<u4").tobytes()) for a in ids], pa.int64()),
                     pa.array([codec.restores(t, i) for t, i in zip(part, ids)], pa.bool_()),
-                    pa.array([a.astype(np.int32) if with_ids else None for a in arrays], pa.list_(pa.int32())),
+                    pa.array([a if with_ids else None for a in ids], pa.list_(pa.int32())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "n_tokens", "n_bytes", "n_unknown", "ids_crc32", "restored", "ids"])
 
