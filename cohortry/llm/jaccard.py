@@ -3,8 +3,9 @@
 A document is the set of its runs of five words. Each of several runs puts a set into buckets, one for every token that a
 hash keeps with probability 1 / (similarity x size of the set): two sets of at least that similarity keep one common token
 per run on average, whatever their sizes. Buckets that are still large are split again on further sampled tokens (a path of
-chosen tokens names a bucket); small ones are compared by brute force on bit sketches, which leaves candidate clusters. In a
-cluster the exact similarity of all pairs decides. The number of runs follows from the target recall.
+chosen tokens names a bucket); small ones are compared by brute force on parity sketches, which leaves candidate clusters. A
+sketch rejects a pair only if the sets differ in too many tokens, never by chance. In a cluster the exact similarity of all
+pairs decides. The number of runs follows from the target recall.
 
 Equal sets are one member with a number of copies, and a bucket or cluster gives a spanning forest and counts, never its
 pairs. Buckets and clusters beyond a block are compared block by block in tasks of their own.
@@ -29,7 +30,8 @@ SHINGLE_WORDS, SIMILARITY, TARGET_RECALL = 5, 0.8, 0.995
 SMALL, DEPTH = 4096, 3
 #: Members that one task compares with each other at once: by sketches, and by whole sets.
 SKETCH_BLOCK, SET_BLOCK = 4096, 512
-BINS = 256
+#: Bits of a sketch: the power of two at or above the size of the set, within these bounds.
+LEAST_BITS, MOST_BITS = 256, 1 << 16
 #: Keys (8 bytes each) of documents that may be broadcast when the texts of members are fetched; beyond it, a shuffle.
 MAX_BROADCAST_KEYS = 200_000
 REMEMBERED_WORDS = 300_000
@@ -90,20 +92,27 @@ def chosen(tokens: np.ndarray, paths: np.ndarray, similarity: float) -> tuple[np
     return (np.concatenate(at), np.concatenate(out)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
+def sketch_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the sketches of sets of these sizes."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+
+
 def sketch(tokens: np.ndarray) -> bytes:
-    """One bit from the lowest hash of each of 256 bins; an empty bin takes the next one's."""
-    mixed = np.sort(mix(tokens * K2))
-    starts = np.searchsorted(mixed, np.arange(BINS, dtype=np.uint64) << np.uint64(56))
-    ends = np.append(starts[1:], len(mixed))
-    full = np.flatnonzero(ends > starts)
-    source = full[np.searchsorted(full, np.arange(BINS)) % len(full)]
-    return np.packbits((mixed[starts[source]] & np.uint64(1)).astype(np.uint8)).tobytes()
+    """Whether the number of tokens is odd, for each of the bins that their hashes fall into."""
+    bits = int(sketch_bits(np.array([len(tokens)]))[0])
+    at = (mix(tokens * K2) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def sketch_limit(n: np.ndarray) -> np.ndarray:
-    """Differing bits that two sets of the threshold similarity exceed with a chance of some 1 in 30,000, by the smaller size."""
-    differ = (1 - SIMILARITY) / 2
-    return np.minimum(BINS, BINS * (differ + 4 * np.sqrt(differ * (1 - differ) / np.minimum(n, BINS))))
+def folded(sketches: list[bytes], bits: int) -> np.ndarray:
+    """The sketches at ``bits`` bits each, none of which may be shorter: halves on top of each other are the parities of fewer bins."""
+    out = []
+    for one in sketches:
+        words = np.frombuffer(one, np.uint64)
+        while len(words) * 64 > bits:
+            words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+        out.append(words)
+    return np.stack(out)
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -124,19 +133,27 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None)
     return kept, root
 
 
-def near_sketches(n: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose sizes and sketches allow the threshold similarity."""
-    kept, root, words = [], np.arange(len(n)), bits.view(np.uint64).reshape(len(n), -1)
+def near_sketches(n: np.ndarray, sketches: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sizes and sketches allow the similarity.
+
+    Sets of sizes x and y with at least the similarity s differ in (x + y) (1 - s) / (1 + s) tokens at most, and each of those
+    changes one bit at most: a pair that is left out is below the similarity for certain.
+    """
+    kept, root = [], np.arange(len(n))
     order = np.argsort(n, kind="stable")  # sizes must be alike: only a window of larger ones can match
-    n, words = n[order], words[order]
-    last = np.searchsorted(n, n / SIMILARITY, "right")
-    for i in range(len(n) - 1):
-        j = slice(i + 1, last[i])
-        if j.start < j.stop:
-            differ = np.bitwise_count(words[j] ^ words[i]).sum(axis=1)
-            close = np.flatnonzero(differ <= sketch_limit(n[i : i + 1])[0]) + i + 1
-            more, root = forest(len(n), np.full(len(close), i), close, root)
-            kept += more
+    n = n[order]
+    share = (1 - similarity) / (1 + similarity)
+    last, bits = np.searchsorted(n, n / similarity + 1e-6, "right"), sketch_bits(n)
+    for width in np.unique(bits).tolist():
+        lo, hi = np.searchsorted(bits, [width, width + 1]).tolist()
+        words = folded([sketches[k] for k in order[lo : last[hi - 1]]], width)
+        for i in range(lo, hi):
+            j = slice(i + 1, last[i])
+            if j.start < j.stop:
+                differ = np.bitwise_count(words[i + 1 - lo : last[i] - lo] ^ words[i - lo]).sum(axis=1)
+                close = np.flatnonzero(differ <= (n[j] + n[i]) * share + 1e-6) + i + 1
+                more, root = forest(len(n), np.full(len(close), i), close, root)
+                kept += more
     return [(int(order[x]), int(order[y])) for x, y in kept]
 
 
@@ -262,8 +279,7 @@ def candidate_links(docs: DataFrame, sets: DataFrame, words: int, similarity: fl
         for group in grouped(batches, 3):
             if len(group) > 1:
                 n = np.array([r["n"] for r in group], np.int64)
-                bits = np.frombuffer(b"".join(r["sketch"] for r in group), np.uint8)
-                for x, y in near_sketches(n, bits):
+                for x, y in near_sketches(n, [r["sketch"] for r in group], similarity):
                     a.append(group[x]["id"])
                     b.append(group[y]["id"])
             if len(a) > 100_000:

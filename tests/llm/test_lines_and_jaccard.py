@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,32 @@ def test_classes_against_brute_force(spark, documents, monkeypatch, small, block
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == brute_classes(rows)
 
 
+def test_no_pair_of_short_texts_is_lost_at_the_threshold(spark, documents):
+    rng, rows = random.Random(8), []
+    for pair in range(3000):  # runs of words that come once: n shingles, and n + n // 4 of which n are the same
+        n = (4, 8, 20)[pair % 3]
+        words = [f"{pair}x{rng.getrandbits(40)}" for _ in range(n + n // 4 + 4)]
+        rows += [(2 * pair, " ".join(words[: n + 4])), (2 * pair + 1, " ".join(words))]
+    got = jaccard.classes(documents(rows).repartition(8)).collect()
+    assert all(r.n_links == 1 and r.class_id == r.doc_id // 2 * 2 for r in got) and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.9])
+def test_sketches_reject_only_below_the_similarity(similarity):
+    rng = np.random.default_rng(9)
+    rejected = 0
+    for _ in range(300):
+        n = int(rng.choice([1, 4, 9, 100, 250, 300, 1000, 5000]))
+        tokens = rng.integers(0, 2**64, 2 * n + 2, np.uint64)
+        a, b = tokens[:n], tokens[int(rng.integers(0, n)) : n + int(rng.integers(0, n // 3 + 2))]
+        common = len(np.intersect1d(a, b))
+        near = common / (len(a) + len(b) - common) >= similarity
+        found = jaccard.near_sketches(np.array([len(a), len(b)]), [jaccard.sketch(a), jaccard.sketch(b)], similarity)
+        assert found or not near
+        rejected += not found
+    assert rejected > 30
+
+
 def test_keep_one_and_edges(spark, documents):
     rows = corpus(random.Random(4))
     df = documents(rows, extra=True)
