@@ -145,7 +145,8 @@ class Reader:
 
 
 #: A word of Latin letters, and the ASCII punctuation behind it: tokens never cross that border (an apostrophe may begin one).
-LETTERS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+)([!-&(-/:-@\[-`{-~]*)")
+#: Not U+0130, which ends in a combining dot in lower case; the dot would belong to the punctuation.
+LETTERS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordEncoder:

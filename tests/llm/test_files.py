@@ -51,6 +51,14 @@ def test_word_encoder_equals_the_tokenizer():
         assert own([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_every_letter_before_punctuation_equals_the_tokenizer():
+    whole, own = Tokenizer.from_file(path("word_bpe_49k.json")), tokenbin.WordEncoder(path("word_bpe_49k.json"))
+    letters = [c for c in map(chr, range(0x41, 0x250)) if c.isalpha()]
+    texts = ["GELDİ!", "DENEYİ.", "İİ,İ;", *(f"{before}{c}{mark}{after}" for c in letters for before in ("", "ab") for after in ("", "!") for mark in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")]
+    wrong = [t for t, ids, e in zip(texts, own(texts), whole.encode_batch(texts, add_special_tokens=False)) if ids.tolist() != e.ids]
+    assert wrong == []
+
+
 def test_token_files(spark, documents):
     rows = [(5, "five words are in here"), (3, None), (None, "no key"), (9, ""), (5, "another text"), (5, "five words are in here"), (1, "long text " * 20_000), *((i, f"text number {i}") for i in range(20, 60))]
     docs, model = documents(rows, extra=True).repartition(3), path("word_bpe_49k.json")
