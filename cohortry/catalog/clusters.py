@@ -148,7 +148,7 @@ def _(t: Tables):
 
 @query("K10_tournament")
 def _(t: Tables):
-    return rounded(search.tournament(customers(t), search.TOURNAMENT, (3, 4, 5), repeats=1), 4)
+    return rounded(search.tournament(customers(t), search.TOURNAMENT), 4)
 
 
 @query("K11_stability")

@@ -75,18 +75,15 @@ def _(t: Tables):
     names = [c for c in features.columns if c != "o_custkey"]
     moments = column_moments(features, names)
     scaled = F.array(*scaled_columns({c: moments[c] for c in names if not moments[c].constant}))
-    labels = kmeans(features.select(F.col("o_custkey").alias("id"), scaled.alias("features")), 4, restarts=2)
+    labels = kmeans(features.select(F.col("o_custkey").alias("id"), scaled.alias("features")), 4)
     placed = features.withColumn("id", F.col("o_custkey")).join(labels, "id")
     tops = profiles.top_features(profiles.cluster_profiles(placed, names))
     return rounded(tops.select("cluster_id", "n_entities", "pct_total", "side", "rank", "feature", "mean", "ratio"), 4)
 
 
-QUICK = dict(max_iterations=2, min_passing=1, restarts=1, stability_repeats=1, trees=10)
-
-
 @query("B03_segmentation_job")
 def _(t: Tables):
-    done = segment_events(t.orders, ROLES, Settings(algorithms=("kmeans",), k_range=(3, 4), silhouette_target=0.1, **QUICK))
+    done = segment_events(t.orders, ROLES, Settings())
     sizes = done.best.labels.groupBy("cluster_id").agg(F.count("*").alias("n_entities"))
     named = done.best.personas.select("cluster_id", "name", F.array_join("dominant_features", ",").alias("dominant"))
     return sizes.join(named, "cluster_id").withColumn("status", F.lit(done.status))
@@ -94,7 +91,7 @@ def _(t: Tables):
 
 @query("B03_text_segmentation_job")
 def _(t: Tables):
-    done = segment_documents(t.documents, "doc_id", ["text"], Settings(algorithms=("kmeans",), k_range=(4,), **QUICK), svd_dims=16)
+    done = segment_documents(t.documents, "doc_id", ["text"])
     sizes = done.best.labels.groupBy("cluster_id").agg(F.count("*").alias("n_entities"))
     named = done.best.personas.select("cluster_id", "name", F.array_join("dominant_features", ",").alias("dominant"))
     return sizes.join(named, "cluster_id").withColumn("status", F.lit(done.status))

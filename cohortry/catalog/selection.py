@@ -36,7 +36,7 @@ def _(t: Tables):
 
 @query("L02_network_reconstruction_error")
 def _(t: Tables):
-    found = selection.network_reconstruction_error(t.lineitem, NUMBERS, width=2, epochs=5)
+    found = selection.network_reconstruction_error(t.lineitem, profiling.numeric_columns(t.lineitem))
     return rounded(t.spark.createDataFrame(list(found.items()), "feature string, recon_error double"))
 
 
