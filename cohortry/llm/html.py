@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Element names of HTML and words that pages use in class and id.
-RAW = "script|style|noscript|template|iframe|svg|math|textarea|select|object|canvas|audio|video|title"
+RAW = "script|style|noscript|template|iframe|svg|annotation-xml|annotation|textarea|select|object|canvas|audio|video|title"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 NOT_ARTICLE = frozenset("nav footer aside form menu dialog button search".split())
@@ -30,7 +30,7 @@ HINTS_IN = frozenset("article content main story".split())
 SWITCHES = frozenset("has with no without is".split())
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<more>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<svg(?![\w:-])[^>]*/>|<(?P<raw>{RAW})(?![\w:-])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<more>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -47,7 +47,7 @@ class Block:
 
 
 def _place(tag: str, more: str, in_main: bool) -> tuple[bool, bool, bool]:
-    """(outside, inside, hidden) that an element says of its content."""
+    """(outside, inside, soft) that an element says of its content; soft: outside by words in class or id that do not hold for an article."""
     outside, inside, hidden, hints = tag in NOT_ARTICLE or tag == "header" and not in_main, tag in ("article", "main"), False, []
     for name, value in ATTRIBUTE.findall(more) if more else ():
         name, value = name.lower(), value.strip("\"'")
@@ -60,20 +60,22 @@ def _place(tag: str, more: str, in_main: bool) -> tuple[bool, bool, bool]:
             for one in value.split():
                 found = [w.lower() for w in HINT_WORD.findall(one)]
                 hints += [w for i, w in enumerate(found) if not (i and found[i - 1] in SWITCHES)]
+    soft = False
     if hints and tag not in ("html", "body"):
         known = (HINTS_COMMENT if inside else HINTS_OUT) - ({"header"} if in_main else set())
+        soft = not (outside or hidden or any(w in HINTS_COMMENT for w in hints))
         outside |= any(w in known for w in hints)
         inside |= not outside and any(w in HINTS_IN for w in hints)
-    return outside or hidden, inside and not outside, hidden
+    return outside or hidden, inside and not outside, outside and soft
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; scripts, styles, comments and markup are gone, white space is one space."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, int, bool, int]] = []
     pieces: list[str] = []
     link_pieces: list[str] = []
-    n_out = n_in = links = at = 0
+    n_out = n_soft = n_in = links = at = 0
 
     def flush() -> None:
         nonlocal pieces, link_pieces
@@ -85,10 +87,11 @@ def blocks(page: str) -> list[Block]:
         pieces, link_pieces = [], []
 
     def close(i: int) -> None:
-        nonlocal n_out, n_in, links
-        for _, outside, inside in stack[i:]:
+        nonlocal n_out, n_soft, n_in, links
+        for _, outside, inside, soft in stack[i:]:
             n_out -= outside
             n_in -= inside
+            n_soft -= soft
         del stack[i:]
         links = 0
 
@@ -119,10 +122,13 @@ def blocks(page: str) -> list[Block]:
                 if stack and (stack[-1][0] == "p" or tag == "li" and stack[-1][0] == "li"):
                     close(len(stack) - 1)
                 if tag not in VOID:
-                    outside, inside, _ = _place(tag, m["more"], n_in > 0)
-                    stack.append((tag, outside, inside))
+                    outside, inside, soft = _place(tag, m["more"], n_in > 0)
+                    if tag in ("article", "main") and not outside and n_out == n_soft:
+                        outside = soft = -n_out  # what stands around it is outside by a hint alone
+                    stack.append((tag, outside, inside, soft))
                     n_out += outside
                     n_in += inside
+                    n_soft += soft
     if at < len(page):
         rest = page[at:]
         say(rest[: rest.index("<")] if re.search(r"<[a-z/!]", rest, re.I) and "<" in rest else rest)

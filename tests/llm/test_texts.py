@@ -270,3 +270,17 @@ def test_html_places_decide():
 
     assert share(1, 1, 1) == share(1, 0, 1) == share(1, -1, 1) == share(0, -1, 1) == 0
     assert share(0, 1, 0.5) == 1
+
+
+def test_pages_keep_text_around_graphics_in_formulas_and_in_hinted_wrappers():
+    one = lambda page: [(b.text, b.outside, b.inside) for b in html.blocks(page)]
+    assert one('<p>one <svg class="i"/> two</p><p>three</p>') == [("one two", False, False), ("three", False, False)]
+    assert one("<p>a <svg><text>no</text></svg> b</p>") == [("a b", False, False)]
+    assert one("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p></article>") == [("so x=2 holds", False, True)]
+    assert one("<math><annotation-xml><p>no</p></annotation-xml></math><svg-icon>a</svg-icon><p>b</p>") == [("a", False, False), ("b", False, False)]
+    prose = "word " * 60
+    page = f"<body><div class='content-sidebar-wrap'><p>Menu</p><article><p>{prose}</p></article><p>Other</p></div><p>last</p></body>"
+    assert [(b.outside, b.inside) for b in html.blocks(page)] == [(True, False), (False, True), (True, False), (False, False)]
+    assert html.main_text(page, html.fit_tree())[0] == prose.strip()
+    for wrapper in ("<aside>", "<div class='related'>", "<div hidden>"):
+        assert all(b.outside for b in html.blocks(f"{wrapper}<article><p>{prose}</p></article>"))
