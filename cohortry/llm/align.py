@@ -14,6 +14,7 @@ aligned once per task; the documents are put together from their runs.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import itertools
 import os
@@ -32,38 +33,42 @@ from cohortry.llm.common import chunks, stored
 
 SPACE = "▁"
 #: Characters of text that are aligned at once; their documents share one list of pairs.
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 21
 #: Runs of text that an aligner remembers before it starts anew.
-REMEMBERED_RUNS = 200_000
+REMEMBERED_RUNS = 400_000
 #: Before a space behind something else than white space. U+180E was white space once.
 CUT = re.compile("(?<=[^\\s᠎])(?= )")
+#: White space other than a space, before a space.
+MIXED = re.compile("[^\\S ] |᠎ ")
+#: Latin letters and the ASCII punctuation behind them: two words to A's first cut (an apostrophe may begin one of letters).
+LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ſ]+)([!-&(-/:-@\\[-`{-~]*)")
 #: First length that is compared at a new shift.
-FIRST_PROBE = 8
+FIRST_PROBE = 4
 HEX = re.compile("<0x([0-9A-F]{2})>")
 
 
-def one_to_one(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """Groups of two arrays of ends as (first of a, first of b, tokens of a, tokens of b), stretches of one to one as (i, j, n, -1).
+def one_to_one(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """Groups of two lists of ends as (first of a, first of b, tokens of a, tokens of b), stretches of one to one as (i, j, n, -1).
 
-    Both arrays ascend and end alike.
+    Both lists ascend and end alike.
     """
     i = j = 0
-    n, m = len(a), len(b)
+    n = len(a)
     while i < n:
         begin, step = i, FIRST_PROBE
-        while True:
-            k = min(step, n - i, m - j)
-            differ = np.flatnonzero(a[i : i + k] != b[j : j + k])[:1]
-            run = int(differ[0]) if len(differ) else k
-            i, j, step = i + run, j + run, step * 2
-            if len(differ) or i >= n or j >= m:
-                break
+        while i < n and a[i : i + step] == b[j : j + step]:
+            i, j, step = i + step, j + step, step * 2
+        if i < n:
+            while a[i] == b[j]:  # the first difference lies in the last stretch
+                i, j = i + 1, j + 1
+        else:
+            i, j = n, len(b)
         if i > begin:
             yield begin, j - (i - begin), i - begin, -1
         if i < n:  # the next common end
             x, y = i, j
-            while a[x] != b[y]:
-                if a[x] < b[y]:
+            while (p := a[x]) != (q := b[y]):
+                if p < q:
                     x += 1
                 else:
                     y += 1
@@ -90,6 +95,8 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = byte_letters()
+        self.spelt = {b: c for c, b in letters.items()}
+        self.marks: dict[str, list[int]] = {"": []}  # ids of punctuation
         self.bytes_a = [b""] * self.a.get_vocab_size()
         for piece, i in self.a.get_vocab().items():
             known = all(c in letters for c in piece)
@@ -101,44 +108,88 @@ class Aligner:
             self.bytes_b.append(bytes([int(code[1], 16)]) if code else piece.replace(SPACE, " ").encode())
         self.size_a, self.size_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
         self.wide_b = len(self.bytes_b)
+        self.shown = [str(i) for i in range(max(len(self.bytes_a), self.wide_b))]
         self.cut = not any(SPACE in p.lstrip(SPACE) for p in map(self.b.id_to_piece, range(self.wide_b)))
+        self.space = self.b.piece_to_id(SPACE)
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = defaultdict()
+        self.number: dict[str, int] = defaultdict()  # of a run, by what follows its first space
         self.number.default_factory = self.number.__len__
         self.counts = np.zeros((0, 4), np.int64)  # of a run: tokens of a, of b, groups, links
         self.texts: list[bytes] = []  # its groups as text
         self.good = np.zeros(0, bool)
         self.pairs, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)  # links of run i: pairs[ends[i]:ends[i + 1]]
 
-    def _encode_b(self, runs: list[str]) -> list[list[int]]:
+    def _encode_a(self, keys: list[str]) -> list[list[int]]:
+        """Ids of runs, given without their space; those of letters and punctuation go to the model at once."""
+        out, others, spelt, model, marks = [], [], self.spelt, self.a.model, self.marks
+        for i, key in enumerate(keys):
+            found = LETTERS.fullmatch(key)
+            if found is None:
+                others.append(i)
+                out.append([])
+                continue
+            word, mark = found.groups()
+            if mark not in marks:
+                marks[mark] = self.a.encode(mark, add_special_tokens=False).ids
+            out.append([t.id for t in model.tokenize((" " + word).encode().decode("latin-1").translate(spelt))] + marks[mark])
+        for i, e in zip(others, self.a.encode_batch_fast([" " + keys[i] for i in others], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
+    def _encode_b(self, keys: list[str]) -> list[list[int]]:
         # the model puts a space before what it is given, unless that is empty
-        found = self.b.encode([r[1:] for r in runs], num_threads=1)
-        alone = self.b.piece_to_id(SPACE)
-        return [ids if r != " " else [alone] for r, ids in zip(runs, found)]
-
-    def _learn(self, runs: list[str]) -> None:
+        found = self.b.encode(keys, num_threads=1)
+        return [ids or [self.space] for ids in found]
+
+    def _runs(self, text: str) -> list[str]:
+        """The runs of a space and the text, each without its first character, which is a space."""
+        if not text:
+            return []
+        if not self.cut:
+            return [text]
+        if "  " not in text and text[0] != " " and not MIXED.search(text):
+            return text.split(" ")
+        return [r[1:] for r in CUT.split(" " + text)]
+
+    def _good(self, runs: list[str], flat_a: np.ndarray, flat_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """Which runs both sides give back byte by byte; most often all, which one comparison tells."""
+        whole = [r.encode() for r in runs]
+        length = np.fromiter(map(len, whole), np.int64, len(whole))
+        every, good = b"".join(whole), np.ones(len(runs), bool)
+        for side, size, flat, n in ((self.bytes_a, self.size_a, flat_a, n_a), (self.bytes_b, self.size_b, flat_b, n_b)):
+            own = np.concatenate([[0], np.cumsum(size[flat])])[np.concatenate([[0], np.cumsum(n)])]
+            if (np.diff(own) == length).all() and b"".join(map(side.__getitem__, flat.tolist())) == every:
+                continue
+            edges = np.concatenate([[0], np.cumsum(n)]).tolist()
+            ids = flat.tolist()
+            good &= np.fromiter((b"".join([side[i] for i in ids[x:y]]) == w for x, y, w in zip(edges, edges[1:], whole)), bool, len(runs))
+        return good
+
+    def _learn(self, keys: list[str]) -> None:
         """Encode and align new runs, all in one pair of arrays."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast(runs, add_special_tokens=False)]
-        ids_b = self._encode_b(runs)
+        runs = [" " + k for k in keys]
+        ids_a, ids_b = self._encode_a(keys), self._encode_b(keys)
         n_a, n_b = (np.fromiter(map(len, x), np.int64, len(runs)) for x in (ids_a, ids_b))
         flat_a, flat_b = (np.fromiter(itertools.chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((ids_a, n_a), (ids_b, n_b)))
-        whole = [r.encode() for r in runs]
-        side_a, side_b = self.bytes_a, self.bytes_b
-        good = np.fromiter((b"".join([side_a[i] for i in x]) == b"".join([side_b[i] for i in y]) == w for x, y, w in zip(ids_a, ids_b, whole)), bool, len(runs))
-        keep_a, keep_b = np.repeat(good, n_a), np.repeat(good, n_b)
-        flat_a, flat_b = flat_a[keep_a], flat_b[keep_b]
-        n_a, n_b = n_a * good, n_b * good
+        good = self._good(runs, flat_a, flat_b, n_a, n_b)
+        if not good.all():
+            keep_a, keep_b = np.repeat(good, n_a), np.repeat(good, n_b)
+            flat_a, flat_b = flat_a[keep_a], flat_b[keep_b]
+            n_a, n_b = n_a * good, n_b * good
         left, right = (np.cumsum(size[x]) for size, x in ((self.size_a, flat_a), (self.size_b, flat_b)))
 
         # groups as first token of each side
         first_a, first_b = [], []
-        for i, j, n, m in one_to_one(left, right):
-            first_a.append(np.arange(i, i + n) if m < 0 else np.array([i]))
-            first_b.append(np.arange(j, j + n) if m < 0 else np.array([j]))
-        first_a, first_b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first_a, first_b))
-        before = np.searchsorted(first_a, np.concatenate([[0], np.cumsum(n_a)]))
+        for i, j, n, m in one_to_one(left.tolist(), right.tolist()):
+            if m < 0:
+                first_a.extend(range(i, i + n))
+                first_b.extend(range(j, j + n))
+            else:
+                first_a.append(i)
+                first_b.append(j)
+        before = np.searchsorted(np.array(first_a, np.int64), np.concatenate([[0], np.cumsum(n_a)]))
         n_groups = np.diff(before)
 
         # links: each token of a meets the tokens of b from the one that holds its first byte to the one that holds its last
@@ -150,9 +201,9 @@ class Aligner:
         links = flat_a[owner] * self.wide_b + flat_b[other]
         upto = np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], np.cumsum(n_a)])]
 
-        names_a, names_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        last_a, last_b = np.append(first_a[1:], len(names_a)).tolist(), np.append(first_b[1:], len(names_b)).tolist()
-        shown = [f"{','.join(names_a[i:k])}|{','.join(names_b[j:l])}" if k - i > 1 or l - j > 1 else f"{names_a[i]}|{names_b[j]}" for i, j, k, l in zip(first_a.tolist(), first_b.tolist(), last_a, last_b)]
+        names_a, names_b = ([self.shown[i] for i in x.tolist()] for x in (flat_a, flat_b))
+        last_a, last_b = [*first_a[1:], len(names_a)], [*first_b[1:], len(names_b)]
+        shown = [f"{','.join(names_a[i:k])}|{','.join(names_b[j:l])}" if k - i > 1 or l - j > 1 else f"{names_a[i]}|{names_b[j]}" for i, j, k, l in zip(first_a, first_b, last_a, last_b)]
         cut = before.tolist()
         self.texts += [";".join(shown[x:y]).encode() for x, y in zip(cut, cut[1:])]
         self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, n_groups, np.diff(upto)], axis=1)])
@@ -165,11 +216,15 @@ class Aligner:
         if len(self.number) > REMEMBERED_RUNS:
             self._forget()
         known = len(self.number)
-        whole = [" " + t if t else "" for t in texts]
-        runs = [CUT.split(w) if self.cut else [w] for w in whole]
-        at = [np.fromiter(map(self.number.__getitem__, r), np.int64, len(r)) if w else np.zeros(0, np.int64) for w, r in zip(whole, runs)]
+        runs = [self._runs(t) for t in texts]
+        at = [np.fromiter(map(self.number.__getitem__, r), np.int64, len(r)) for r in runs]
         if len(self.number) > known:
-            self._learn(list(itertools.islice(reversed(self.number), len(self.number) - known))[::-1])
+            new = list(itertools.islice(reversed(self.number), len(self.number) - known))[::-1]
+            gc.disable()  # some hundred thousand lists of ids, none in a cycle
+            try:
+                self._learn(new)
+            finally:
+                gc.enable()
         at = [x if self.good[x].all() else np.zeros(0, np.int64) for x in at]
         counts = np.array([self.counts[x].sum(axis=0) for x in at], np.int64).reshape(-1, 4)
         shown = self.texts

@@ -224,7 +224,7 @@ def test_diagonal_runs_against_a_plain_walk():
         if rng.random() < 0.5:
             b = np.unique(np.append(a, rng.integers(1, end + 1, 2)))
         found = []
-        for i, j, n, m in align.one_to_one(a, b):
+        for i, j, n, m in align.one_to_one(a.tolist(), b.tolist()):
             found += [((i + x, i + x + 1), (j + x, j + x + 1)) for x in range(n)] if m < 0 else [((i, i + n), (j, j + m))]
         common = np.intersect1d(a, b)
         x, y = np.searchsorted(a, common) + 1, np.searchsorted(b, common) + 1
