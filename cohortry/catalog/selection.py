@@ -168,11 +168,17 @@ def _(t: Tables):
     return selection.default_request(ranked, pairs).select("feature")
 
 
-@query("L12_text_keeps_all", "SELECT 'emb_' || CAST(range AS VARCHAR) AS feature FROM range(64)")
+@query(
+    "L12_text_keeps_all",
+    f"""WITH u AS (SELECT CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)
+        SELECT 'emb_' || CAST(pos AS VARCHAR) AS feature, count(*) AS n, {r('avg(x)')} AS mean, {r('max(x)')} AS top FROM u GROUP BY pos""",
+)
 def _(t: Tables):
-    wide = t.embeddings.select("vec_id", *[F.element_at("embedding", i + 1).alias(f"emb_{i}") for i in range(64)])
+    """Every dimension of the text vectors stays, with its values."""
+    wide = t.embeddings.select("vec_id", *[F.element_at("embedding", i + 1).cast("double").alias(f"emb_{i}") for i in range(64)])
     kept = selection.select_features(wide, "vec_id", modality="text").selected
-    return t.spark.createDataFrame([(c,) for c in kept], "feature string")
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in kept])).alias("c")
+    return rounded(wide.select(cells).groupBy("c.feature").agg(F.count("c.x").alias("n"), F.avg("c.x").alias("mean"), F.max("c.x").alias("top")))
 
 
 @query("P18_explained_variance")

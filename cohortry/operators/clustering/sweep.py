@@ -12,16 +12,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.partials import PART_SCHEMA, matrix_parts, summed_rows
 from cohortry.functions.quantiles import exact_quantiles
 from cohortry.functions.vectors import matrix_of, squared_distances
-from cohortry.sources.tables import sample_rows
 
 BLOB_ROWS = 2_048
-START_ROWS = 10_000  # seeded sample of the rows from which starting centres are drawn; more where k needs it
+START_ROUNDS, LEAST_DRAWN = 4, 200  # rounds of drawing rows for starts, and rows drawn in each, twice the largest k at least
 
 
 @dataclass(frozen=True)
@@ -57,22 +56,100 @@ def _packed(rows: DataFrame, unit: bool) -> DataFrame:
                     norm = np.linalg.norm(x, axis=1, keepdims=True)
                     x = x / np.where(norm == 0, 1.0, norm)
                 masks = np.array([list(m) for m in part["masks"]], dtype=bool).reshape(len(part), -1)
-                yield pd.DataFrame({"ids": [part["id"].tolist()], "n": [len(part)], "x": [x.tobytes()], "masks": [masks.tobytes()]})
+                marks = part["_mark"].to_numpy(np.int64)
+                yield pd.DataFrame({"ids": [part["id"].tolist()], "n": [len(part)], "x": [x.tobytes()], "masks": [masks.tobytes()], "marks": [marks.tobytes()]})
 
-    return rows.select("id", "features", "masks").mapInPandas(pack, f"ids array<{kind}>, n int, x binary, masks binary")
+    marked = rows.select("id", "features", "masks", F.xxhash64("id").alias("_mark"))
+    return marked.mapInPandas(pack, f"ids array<{kind}>, n int, x binary, masks binary, marks binary")
 
 
-def _spread_start(x: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Greedy distance-weighted start on a sample."""
+def _uniform(marks: np.ndarray, number: int) -> np.ndarray:
+    """A number in (0, 1) for each row and draw, from the row's hash alone."""
+    z = marks.view(np.uint64) + np.uint64((number * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53 + 2.0**-54
+
+
+def starting_pool(packed: DataFrame, d: int, masks: list[int | None], k: int, seed: int) -> dict[int | None, tuple[np.ndarray, np.ndarray]]:
+    """For each subsample (None: all rows), weighted rows from which starts are chosen: (points, rows that each is nearest to).
+
+    Parallel k-means++ over all rows: in each round rows are drawn without replacement in proportion to their squared distance
+    from those drawn before (smallest exponential keys), so that a small far cluster is met wherever its rows lie. All subsamples
+    share the passes, and the draw depends on the rows' ids alone.
+    """
+    sc, drawn = packed.sparkSession.sparkContext, max(LEAST_DRAWN, 2 * k)
+    pool: dict[int | None, np.ndarray] = {m: np.zeros((0, d)) for m in masks}
+
+    def seen_by(mask, m, n):
+        return slice(None) if mask is None else np.frombuffer(m, dtype=bool).reshape(n, -1)[:, mask]
+
+    for number in range(START_ROUNDS + 1):
+        shipped = sc.broadcast(pool)
+        wanted = drawn if number else 1
+
+        def draw(batches, shipped=shipped, number=number, wanted=wanted):
+            held: dict = {m: (np.zeros(0), np.zeros((0, d))) for m in masks}
+            for pdf in batches:
+                for n, x, m, h in zip(pdf["n"], pdf["x"], pdf["masks"], pdf["marks"]):
+                    rows, marks = np.frombuffer(x, dtype=float).reshape(n, d), np.frombuffer(h, np.int64)
+                    noise = -np.log(_uniform(marks, seed * 64 + number))
+                    for mask in masks:
+                        some = seen_by(mask, m, n)
+                        part, known = rows[some], shipped.value[mask]
+                        far = squared_distances(part, known).min(axis=1) if len(known) else np.ones(len(part))
+                        with np.errstate(divide="ignore"):
+                            keys = np.where(far > 0, noise[some] / far, np.inf)
+                        keys, points = np.append(held[mask][0], keys), np.vstack([held[mask][1], part])
+                        best = np.argsort(keys, kind="stable")[:wanted]
+                        held[mask] = keys[best], points[best]
+            for at, mask in enumerate(masks):
+                keys, points = held[mask]
+                fine = np.isfinite(keys)
+                if fine.any():
+                    yield pd.DataFrame({"at": at, "key": keys[fine], "x": [v.tobytes() for v in points[fine]]})
+
+        found = packed.mapInPandas(draw, "at int, key double, x binary")
+        first = Window.partitionBy("at").orderBy("key", "x")
+        for r in found.withColumn("place", F.row_number().over(first)).where(F.col("place") <= wanted).collect():  # wanted for each subsample
+            pool[masks[r["at"]]] = np.vstack([pool[masks[r["at"]]], np.frombuffer(r["x"], dtype=float)])
+        shipped.destroy()
+    # in one order, whatever the collected rows came in
+    pool = {m: v[np.lexsort(v.T[::-1])] for m, v in pool.items()}
+    shipped = sc.broadcast(pool)
+    edges = np.cumsum([0] + [len(pool[m]) for m in masks])
+
+    def weigh(batches):
+        total = np.zeros((int(edges[-1]), 1))
+        for pdf in batches:
+            for n, x, m in zip(pdf["n"], pdf["x"], pdf["masks"]):
+                rows = np.frombuffer(x, dtype=float).reshape(n, d)
+                for j, mask in enumerate(masks):
+                    part = rows[seen_by(mask, m, n)]
+                    if len(part):
+                        total[edges[j] : edges[j + 1], 0] += np.bincount(squared_distances(part, shipped.value[mask]).argmin(axis=1), minlength=len(shipped.value[mask]))
+        yield from matrix_parts(total)
+
+    weights = summed_rows(packed.mapInPandas(weigh, PART_SCHEMA), int(edges[-1]), 1)[:, 0]
+    shipped.destroy()
+    return {m: (pool[m], weights[edges[j] : edges[j + 1]]) for j, m in enumerate(masks)}
+
+
+def _spread_start(x: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Greedy start on weighted points, in proportion to weight and squared distance."""
     rng = np.random.default_rng(seed)
     tries = 2 + int(np.log(k))
-    chosen = [int(rng.integers(len(x)))]
+
+    def pick(mass: np.ndarray, size: int) -> np.ndarray:
+        total = mass.sum()
+        return rng.integers(len(x), size=size) if total <= 0 else np.searchsorted(np.cumsum(mass), rng.random(size) * total).clip(max=len(x) - 1)
+
+    chosen = [int(pick(weights, 1)[0])]
     near = squared_distances(x, x[chosen])[:, 0]
     while len(chosen) < k:
-        total = near.sum()
-        picks = rng.integers(len(x), size=tries) if total <= 0 else np.searchsorted(np.cumsum(near), rng.random(tries) * total).clip(max=len(x) - 1)
+        picks = pick(near * weights, tries)
         options = np.minimum(near[:, None], squared_distances(x, x[picks]))
-        best = int(options.sum(axis=0).argmin())
+        best = int((options * weights[:, None]).sum(axis=0).argmin())
         chosen.append(int(picks[best]))
         near = options[:, best]
     return x[chosen].copy()
@@ -83,6 +160,8 @@ class Sweep:
     fits: list[Fit]
     centres: list[np.ndarray]
     inertia: np.ndarray
+    counts: list[np.ndarray]  # rows of each cluster, and their means
+    means: list[np.ndarray]
     packed: DataFrame
     id_type: str
 
@@ -120,16 +199,16 @@ def sweep(vectors: DataFrame, fits: list[Fit], unit: bool = False, max_iter: int
         packed.count()
         few.unpersist()
         tasks = min(blobs, sc.defaultParallelism)
-    starts = max(START_ROWS, 20 * max(f.k for f in fits))
-    head = sample_rows(vectors.select("id", "features", "masks"), "id", n=starts).toPandas().sort_values("id")
-    x0 = matrix_of(head)
-    if unit:
-        norm = np.linalg.norm(x0, axis=1, keepdims=True)
-        x0 = x0 / np.where(norm == 0, 1.0, norm)
-    seen = np.array([list(m) for m in head["masks"]], dtype=bool).reshape(len(head), -1)
-    centres = [_spread_start(x0 if f.mask is None else x0[seen[:, f.mask]], f.k, f.seed) for f in fits]
-    d = x0.shape[1]
-    moved = tolerance * float(x0.var(axis=0).mean())
+    one = packed.select("n", F.length("x").alias("bytes")).first()
+    if one is None:
+        raise ValueError("no rows to cluster")
+    d = one["bytes"] // (8 * one["n"])
+    seen = list(dict.fromkeys(f.mask for f in fits))
+    pool = starting_pool(packed, d, seen, max(f.k for f in fits), min(f.seed for f in fits))
+    centres = [_spread_start(*pool[f.mask], f.k, f.seed) for f in fits]
+    x0, weight = pool[seen[0]]
+    mean = np.average(x0, axis=0, weights=weight)
+    moved = tolerance * float(np.average(np.square(x0 - mean), axis=0, weights=weight).mean())
 
     def run(live: list[int]) -> list[np.ndarray]:
         """Per live fit, k rows of (sum vector, count, inertia)."""
@@ -174,5 +253,6 @@ def sweep(vectors: DataFrame, fits: list[Fit], unit: bool = False, max_iter: int
         live = still
         if not live:
             break
-    inertia = np.array([s[:, d + 1].sum() for s in run(list(range(len(fits))))])
-    return Sweep(fits, centres, inertia, packed, dict(vectors.dtypes)["id"])
+    last = run(list(range(len(fits))))
+    means = [np.where(s[:, d : d + 1] > 0, s[:, :d] / np.maximum(s[:, d : d + 1], 1e-300), c) for s, c in zip(last, centres)]
+    return Sweep(fits, centres, np.array([s[:, d + 1].sum() for s in last]), [s[:, d] for s in last], means, packed, dict(vectors.dtypes)["id"])

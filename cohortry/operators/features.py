@@ -439,17 +439,18 @@ def entity_diversity(frame: EventFrame, cols_to_count=None, windows=(6, 12, "all
         if texts:
             sizes = distinct_counts(frame.events, texts)
             columns = [c for c in texts if sizes[c] < 500]
-    parts, order = [], [f"n_unique_{safe_name(c)}_{label_of(w)}" for w in windows for c in columns]
-    for c in columns:
-        seen = frame.events.where(col(c).isNotNull()).groupBy(col(e).alias(e), col(c).alias("_v")).agg(
-            *[F.max(frame.inside(w).cast("int")).alias(f"_in_{label_of(w)}") for w in windows]
-        )
-        parts.append(
-            seen.groupBy(e).agg(*[F.sum(f"_in_{label_of(w)}").alias(f"n_unique_{safe_name(c)}_{label_of(w)}") for w in windows])
-        )
-    if not parts:
+    order = [f"n_unique_{safe_name(c)}_{label_of(w)}" for w in windows for c in columns]
+    if not order:
         return frame.events.select(e).distinct(), []
-    return reduce(lambda a, b: a.join(b, e, "full"), parts).select(e, *order), order
+    # all columns in one grouping of (entity, column, value); a value as text is distinct where the value is
+    kinds = dict(frame.events.dtypes)
+    texts = [(col(c) + F.lit(0.0) if kinds[c] in ("float", "double") else col(c)).cast("string") for c in columns]
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), t.alias("v")) for i, t in enumerate(texts)])).alias("_cell")
+    inside = [frame.inside(w).cast("int").alias(f"_in_{j}") for j, w in enumerate(windows)]
+    flat = frame.events.select(col(e).alias(e), *inside, cells).where(F.col("_cell.v").isNotNull())
+    seen = flat.groupBy(e, "_cell").agg(*[F.max(f"_in_{j}").alias(f"_in_{j}") for j in range(len(windows))])
+    counted = [F.sum(F.when(F.col("_cell.c") == i, F.col(f"_in_{j}"))).alias(f"n_unique_{safe_name(c)}_{label_of(w)}") for j, w in enumerate(windows) for i, c in enumerate(columns)]
+    return seen.groupBy(e).agg(*counted).select(e, *order), order
 
 
 # ---------------------------------------------------------------------------

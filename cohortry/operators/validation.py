@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from cohortry.functions.blocks import block_pairs
 from cohortry.functions.columns import col
 from cohortry.functions.vectors import squared_distances
+from cohortry.operators import boosting
+from cohortry.operators.boosting import Boosting
 from cohortry.operators.cleaning import log_columns, log_transform
 from cohortry.session import MAX_CLUSTERS, cut_lineage, take_bounded
 
@@ -64,11 +68,17 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int | None = None,
 # models
 # ---------------------------------------------------------------------------
 
-# accepted names -> family (boosters share one substitute, one-vs-rest boosted trees)
+# accepted names -> family
 MODELS = {
     "random_forest": "forest", "xgboost": "boosted", "lightgbm": "boosted", "gradient_boosting": "boosted",
     "logistic_regression": "logistic", "logistic": "logistic", "knn": "neighbours", "svm": "kernel", "naive_bayes": "bayes",
 }
+# the boosters' own defaults; the second grows by levels here, to 32 leaves
+BOOSTERS = {
+    "xgboost": Boosting(),
+    "lightgbm": Boosting(depth=5, rate=0.1, ridge=0.0, least_hessian=1e-3, least_rows=20),
+    "gradient_boosting": Boosting(trees=100, depth=3, rate=0.1, ridge=0.0, least_hessian=0.0),
+}
 NEIGHBOURS = 5
 FOURIER_FEATURES = 128
 
@@ -81,7 +91,7 @@ def build_estimator(name: str, seed: int = 42, trees: int = 200, rows: int | Non
     family = MODELS.get(str(name).lower(), "forest")
     shared = {"featuresCol": "features", "labelCol": "y", "predictionCol": "pred"}
     if family == "boosted":
-        return OneVsRest(classifier=GBTClassifier(featuresCol="features", maxIter=trees, maxDepth=5, seed=seed), **shared)
+        raise ValueError("boosted trees are fitted by operators.boosting")
     if family == "logistic":
         return LogisticRegression(maxIter=200, standardization=True, regParam=1.0 / rows if rows else 0.0, **shared)
     if family == "bayes":
@@ -91,6 +101,12 @@ def build_estimator(name: str, seed: int = 42, trees: int = 200, rows: int | Non
     return RandomForestClassifier(numTrees=trees, maxDepth=10, seed=seed, **shared)
 
 
+def boosting_of(model: str, trees: int) -> Boosting:
+    """A booster's defaults; ``trees`` counts for those that have 200."""
+    how = BOOSTERS[model]
+    return replace(how, trees=trees) if how.trees == 200 else how
+
+
 def fourier_features(prepared: DataFrame, n_features: int = FOURIER_FEATURES, seed: int = 42) -> DataFrame:
     """Random cosine features of an RBF kernel with gamma = 1 / (d x variance)."""
     sample = prepared.select(F.size(vector_to_array("features")).alias("d")).first()["d"]
@@ -153,6 +169,10 @@ def cross_validate(df: DataFrame, key: str, label: str, columns: list[str], mode
     placed = stratified_folds(prepared, "id", "y", folds, seed).persist()
     top = placed.agg(F.max("fold").alias("k"), F.count("*").alias("n")).first()
     k = top["k"] + 1
+    if family == "boosted":
+        result = cut_lineage(boosting.out_of_fold(placed, len(classes), boosting_of(model, trees)))
+        placed.unpersist()
+        return result, classes
     out = None
     for i in range(k):
         train, test = placed.where(F.col("fold") != i), placed.where(F.col("fold") == i)
@@ -168,16 +188,17 @@ def cross_validate(df: DataFrame, key: str, label: str, columns: list[str], mode
 
 def feature_importances(df: DataFrame, key: str, label: str, columns: list[str], model: str = "random_forest", seed: int = 42, trees: int = 200) -> DataFrame:
     """Tree importances, or mean absolute coefficients, or zeros; largest first."""
-    prepared, _ = prepare_classes(df, key, label, columns)
+    prepared, classes = prepare_classes(df, key, label, columns)
     values = np.zeros(len(columns))
-    if MODELS.get(model, "forest") in ("forest", "boosted", "logistic"):
+    if MODELS.get(model, "forest") == "boosted":
+        values = boosting.importances(prepared.persist(), len(classes), boosting_of(model, trees))
+        prepared.unpersist()
+    elif MODELS.get(model, "forest") in ("forest", "logistic"):
         fitted = build_estimator(model, seed, trees, prepared.count()).fit(prepared)
         if hasattr(fitted, "featureImportances"):
             values = fitted.featureImportances.toArray()
-        elif hasattr(fitted, "coefficientMatrix"):
-            values = np.abs(fitted.coefficientMatrix.toArray()).mean(axis=0)
         else:
-            values = np.mean([m.featureImportances.toArray() for m in fitted.models], axis=0)
+            values = np.abs(fitted.coefficientMatrix.toArray()).mean(axis=0)
     rows = sorted(((c, round(float(v), 6)) for c, v in zip(columns, values)), key=lambda x: (-x[1], x[0]))
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 

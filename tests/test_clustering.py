@@ -10,8 +10,9 @@ from cohortry.functions import blocks
 from cohortry.operators import metrics, refine, search
 from cohortry.operators.clustering import dbscan, density, fuzzy_c_means, gaussian_mixture, kmeans, ward
 from cohortry.operators.clustering.density import connected_components, neighbour_counts
+from cohortry.operators.clustering.mixtures import mixture_sweep
 from cohortry.operators.clustering.sweep import Fit, sweep, with_masks
-from cohortry.operators.clustering.ward import ward_labels
+from cohortry.operators.clustering.ward import ward_cuts, ward_labels
 from cohortry.operators.validation import nearest_neighbour_votes
 
 RNG = np.random.default_rng(42)
@@ -135,6 +136,72 @@ def test_tournament_prefers_the_true_count(blobs):
     assert len(rows) >= 3
 
 
+def test_one_pass_measures_equal_single_ones(blobs):
+    a, b = kmeans(blobs, 3, restarts=2), kmeans(blobs, 4, restarts=2)
+    both = a.withColumnRenamed("cluster_id", "x").join(b.withColumnRenamed("cluster_id", "y"), "id").select("id", F.array("x", "y").alias("labels"))
+    for metric in ("euclidean", "cosine"):
+        for one, labels in zip(metrics.labeling_measures(blobs, both, [3, 5], metric), (a, b)):  # no row has the fifth label
+            labelled = blobs.join(labels, "id")
+            db, ch = metrics.davies_bouldin_calinski_harabasz(labelled)
+            assert one.valid and np.isclose(one.davies_bouldin, db) and np.isclose(one.calinski_harabasz, ch)
+            if metric == "euclidean":
+                assert np.isclose(one.silhouette, metrics.silhouette(labelled))
+            else:
+                x = np.array([r.features for r in labelled.orderBy("id").collect()])
+                y = np.array([r.cluster_id for r in labelled.orderBy("id").collect()])
+                u = x / np.linalg.norm(x, axis=1, keepdims=True)
+                far, scores = 1 - u @ u.T, []
+                for i in range(len(u)):
+                    own = far[i, y == y[i]].sum() / max(1, (y == y[i]).sum() - 1)
+                    other = min(far[i, y == c].mean() for c in set(y) - {y[i]})
+                    scores.append((other - own) / max(own, other) if (y == y[i]).sum() > 1 else 0.0)
+                assert np.isclose(one.silhouette, np.mean(scores))
+
+
+def test_mixtures_fitted_together_equal_plain_expectation_maximisation(blobs):
+    rows = with_masks(blobs, len(X), 0.8, 1, 3)
+    start = sweep(rows, [Fit(k, 7, m) for m in (None, 0) for k in (2, 3)], max_iter=5)
+    done = mixture_sweep(start, [0, 1, 2, 3], max_iter=4, tolerance=0.0)
+    seen = {r.id: r.masks[0] for r in rows.collect()}
+    data = {r.id: np.array(r.features) for r in rows.collect()}
+    for i, f in enumerate(done.fits):
+        x = np.array([data[j] for j in sorted(data) if f.mask is None or seen[j]])
+        share = np.eye(f.k)[((x[:, None] - start.centres[i][None]) ** 2).sum(-1).argmin(axis=1)]
+        for _ in range(5):
+            n = share.sum(axis=0)
+            means = share.T @ x / n[:, None]
+            covs = [((x - m).T * s) @ (x - m) / t + 1e-6 * np.eye(x.shape[1]) for m, s, t in zip(means, share.T, n)]
+            logs = np.stack([np.log(t / len(x)) - 0.5 * (np.linalg.slogdet(c)[1] + x.shape[1] * np.log(2 * np.pi) + ((x - m) @ np.linalg.inv(c) * (x - m)).sum(axis=1)) for m, c, t in zip(means, covs, n)], axis=1)
+            share = np.exp(logs - logs.max(axis=1, keepdims=True))
+            share /= share.sum(axis=1, keepdims=True)
+        assert np.allclose(done.mixtures[i].means + done.shift, means, atol=1e-6)
+
+
+def test_one_ward_tree_is_cut_at_every_k(spark, blobs):
+    rows = with_masks(blobs, len(X), 0.8, 1, 3)
+    cuts = {r.id: r.labels for r in ward_cuts(rows, len(X), [2, 5], [None, 0]).collect()}
+    ids = sorted(cuts)
+    seen = {r.id: r.masks[0] for r in rows.collect()}
+    points = {r.id: r.features for r in blobs.collect()}
+    for j, (k, mask) in enumerate(((2, False), (5, False), (2, True), (5, True))):
+        some = [i for i in ids if not mask or seen[i]]
+        want = ward_labels(np.array([points[i] for i in some]), np.ones(len(some)), k)
+        pairs = set(zip((cuts[i][j] for i in some), want.tolist()))
+        assert len(pairs) == k and all(cuts[i][j] == -1 for i in ids if i not in some)
+
+
+def test_tournament_runs_every_algorithm_on_all_k(blobs):
+    found = search.fit_candidates(blobs, len(X), list(search.TOURNAMENT), [2, 3], "euclidean", 2, 0.8, 1, 2)
+    rows = found.table.collect()
+    assert found.plans == [("kmeans", 2), ("kmeans", 3), ("hierarchical", 2), ("hierarchical", 3), ("gmm", 2), ("gmm", 3), ("dbscan", None)]
+    width = len(found.plans)
+    assert len(rows) == len(X) and all(len(r.labels) == 3 * width for r in rows)
+    for r in rows:
+        for t in range(2):
+            assert r.masks[t] or r.labels[(t + 1) * width + 2] == -1 == r.labels[(t + 1) * width + 6]
+        assert all(0 <= c < w for c, w in zip(r.labels, found.widths))
+
+
 def test_deepening_and_lineage(blobs):
     labels = blobs.select("id", (F.col("id") >= 135).cast("int").alias("cluster_id"))  # 135 rows in one cluster
     placed, tree = refine.deepen(blobs, labels, "kmeans", cap=0.5, sub_k=3, max_depth=2, restarts=1)
