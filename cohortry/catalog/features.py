@@ -137,14 +137,14 @@ def _(t: Tables):
 _streaks = ", ".join(z(f"max(run) FILTER (WHERE cat = '{p}')", f"streak_{name_of(p)}") for p in PRIORITIES)
 
 
-@query(
-    "F07_group_streak",
-    f"""WITH {EV},
+STREAKS = f"""WITH {EV},
     mon AS (SELECT DISTINCT o_custkey, cat, year(ts) * 12 + month(ts) AS m FROM ev),
     isl AS (SELECT *, m - row_number() OVER (PARTITION BY o_custkey, cat ORDER BY m) AS g FROM mon),
     runs AS (SELECT o_custkey, cat, g, count(*) AS run FROM isl GROUP BY ALL)
-    SELECT o_custkey, {_streaks} FROM runs GROUP BY o_custkey""",
-)
+    SELECT o_custkey, {_streaks} FROM runs GROUP BY o_custkey"""
+
+
+@query("F07_group_streak", STREAKS)
 def _(t: Tables):
     return filled(fx.group_streak(frame(t), "o_orderpriority"))
 
@@ -225,26 +225,22 @@ def _share(cond: str) -> str:
     return f"count(*) FILTER (WHERE {cond}) * 1.0 / count(*)"
 
 
-@query(
-    "F11_temporal_patterns",
-    "SELECT user_id, "
-    + ", ".join(
-        [
-            z(_share("hour(ts) >= 6 AND hour(ts) < 12"), "pct_morning_all"),
-            z(_share("hour(ts) >= 12 AND hour(ts) < 18"), "pct_midday_all"),
-            z(_share("hour(ts) >= 18"), "pct_evening_all"),
-            z(_share("hour(ts) < 6"), "pct_night_all"),
-            z(_share("isodow(ts) >= 6"), "pct_weekend_all"),
-            z("(SELECT NULL)", "unused"),
-        ][:-1]
-    )
-    + ", "
-    + z("max(h.peak)", "peak_hour_all")
-    + """ FROM events JOIN (SELECT user_id AS u, min(hh) AS peak FROM (
-            SELECT user_id, hour(ts) AS hh, count(*) AS n, max(count(*)) OVER (PARTITION BY user_id) AS best
-            FROM events GROUP BY user_id, hour(ts)) WHERE n = best GROUP BY user_id) h ON h.u = user_id
-        GROUP BY user_id""",
-)
+def _temporal_sql(source: str, entity: str) -> str:
+    shares = [
+        z(_share("hour(ts) >= 6 AND hour(ts) < 12"), "pct_morning_all"),
+        z(_share("hour(ts) >= 12 AND hour(ts) < 18"), "pct_midday_all"),
+        z(_share("hour(ts) >= 18"), "pct_evening_all"),
+        z(_share("hour(ts) < 6"), "pct_night_all"),
+        z(_share("isodow(ts) >= 6"), "pct_weekend_all"),
+        z("max(h.peak)", "peak_hour_all"),
+    ]
+    return f"""WITH {source} SELECT {entity}, {', '.join(shares)} FROM ev JOIN (SELECT {entity} AS u, min(hh) AS peak FROM (
+            SELECT {entity}, hour(ts) AS hh, count(*) AS n, max(count(*)) OVER (PARTITION BY {entity}) AS best
+            FROM ev GROUP BY {entity}, hour(ts)) WHERE n = best GROUP BY {entity}) h ON h.u = {entity}
+        GROUP BY {entity}"""
+
+
+@query("F11_temporal_patterns", _temporal_sql("ev AS (SELECT user_id, ts FROM events)", "user_id"))
 def _(t: Tables):
     built, names = fx.temporal_patterns(event_frame(t.events, Roles("user_id", "ts", "value", "event_type")))
     return rounded(built.select("user_id", *[F.col(n).cast("double").alias(n) for n in names]), 4)
@@ -286,7 +282,10 @@ def _(t: Tables):
     return rounded(built.select("o_custkey", "sum_o_totalprice_6m", "sum_o_totalprice_all", "n_unique_o_orderpriority_all"), 4)
 
 
-@query("F14_default_plan")
+_parts = [_group_sql([6, 12], ["count", "sum", "mean"]), _trend_sql(), STREAKS, _overall_sql([6, 12, "all"]), _frequency_sql(EV, "o_custkey", [6, 12, "all"]), _temporal_sql(EV, "o_custkey")]
+
+
+@query("F14_default_plan", "SELECT * FROM " + " JOIN ".join(f"({sql}) p{i}" + (" USING (o_custkey)" if i else "") for i, sql in enumerate(_parts)))
 def _(t: Tables):
     return rounded(build_features(t.orders, ROLES, default_plan(True)), 4)
 
