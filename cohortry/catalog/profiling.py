@@ -402,7 +402,15 @@ def _(t: Tables):
     return rounded(profiling.outlier_features(t.lineitem, SCORE_COLUMNS))
 
 
-@query("P21_multimodal_features")
+@query(
+    "P21_multimodal_features",
+    """WITH x AS (SELECT CAST(o_totalprice AS DOUBLE) AS x FROM orders UNION ALL SELECT value * 1000 FROM events),
+       s AS (SELECT count(x) AS n, min(x) AS lo, max(x) AS hi, stddev_samp(x) * pow(count(x), -0.2) AS w FROM x),
+       v AS (SELECT x, count(*) AS c FROM x WHERE x IS NOT NULL GROUP BY x),
+       d AS (SELECT i, sum(c * exp(-pow((lo + i * (hi - lo) / 199 - x) / w, 2) / 2)) AS d FROM range(200) t(i), s, v GROUP BY i),
+       p AS (SELECT count(*) AS peaks FROM d a WHERE i BETWEEN 1 AND 198 AND NOT EXISTS (SELECT 1 FROM d b WHERE b.i <> a.i AND abs(b.i - a.i) <= 10 AND b.d >= a.d))
+       SELECT 'o_totalprice' AS feature, CAST(peaks AS INT) AS peaks, peaks >= 2 AS multimodal FROM p""",
+)
 def _(t: Tables):
     return profiling.multimodal_features(t.orders.select("o_totalprice").unionByName(t.events.select((F.col("value") * 1000).alias("o_totalprice"))))
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.functions.columns import col, g1_skew, is_temporal, numeric_columns, string_columns, token_count
 from cohortry.functions.moments import column_moments
+from cohortry.functions.partials import PART_SCHEMA, matrix_parts, summed_rows
 from cohortry.functions.quantiles import exact_quantiles
 
 EXACT_DISTINCT_UP_TO = 1_000
@@ -306,39 +308,84 @@ def outlier_features(df: DataFrame, columns: list[str] | None = None) -> DataFra
     return df.sparkSession.createDataFrame(rows, "feature string, range_over_iqr double, outlier_heavy boolean")
 
 
+BINS_PER_WIDTH = 32  # bins of a kernel density in one kernel width
+
+
+def _kernel_sums(weighted: DataFrame, specs: list[tuple], grid: int, binned: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Kernel densities of several columns on their grids, and bounds of their errors; rows are (c, x, w), c a place in ``specs``.
+
+    With ``binned`` a row stands for values no further apart than a bin, at their mean; else it is one value.
+    """
+
+    def sums(batches):
+        total = np.zeros((2 * len(specs), grid))
+        for pdf in batches:
+            for c, part in pdf.groupby("c"):
+                _, n, lo, hi, width = specs[c]
+                u = (np.linspace(lo, hi, grid)[:, None] - part["x"].to_numpy()[None, :]) / width
+                w = part["w"].to_numpy() / n
+                total[2 * c] += np.exp(-u * u / 2) @ w
+                if binned:  # half the spread of a bin's values times the kernel's second derivative anywhere in the bin
+                    v = np.maximum(np.abs(u) - 1.0 / BINS_PER_WIDTH, 0.0)
+                    total[2 * c + 1] += ((1 + (v + 2.0 / BINS_PER_WIDTH) ** 2) * np.exp(-v * v / 2)) @ w / (8.0 * BINS_PER_WIDTH**2)
+        yield from matrix_parts(total)
+
+    found = summed_rows(weighted.mapInPandas(sums, PART_SCHEMA), 2 * len(specs), grid)
+    return found[::2], found[1::2]
+
+
 def multimodal_features(df: DataFrame, columns: list[str] | None = None, grid: int = 200, order: int = 10) -> DataFrame:
     """Peaks of a Gaussian kernel density per feature (with at least 50 values).
 
-    Equal values are folded into one weighted row before the density sum, and
-    the sum over the grid is a JVM vector aggregate.
+    All columns are counted into bins of a 32nd of their kernel width in one pass; the density over the bins has a known error.
+    Columns for which two grid points that decide on a peak are closer than that are summed over their values, together.
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
     names = columns or numeric_columns(df)
-    rows = []
-    for c in names:
-        x = df.select(col(c).cast("double").alias("x")).where("x is not null")
-        s = x.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_samp("x").alias("sd")).first()
-        if s["n"] < 50 or not s["sd"]:
-            continue
-        width = s["sd"] * s["n"] ** (-1.0 / 5.0)  # Scott's rule in one dimension
-        step = (s["hi"] - s["lo"]) / (grid - 1)
-        points = F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda i: F.lit(s["lo"]) + i * F.lit(step))
-        kernel = F.transform(points, lambda g: F.exp(-F.pow((g - F.col("x")) / F.lit(width), F.lit(2.0)) / 2.0))
-        weighted = x.groupBy("x").agg(F.count("*").cast("double").alias("w")).select(array_to_vector(kernel).alias("v"), "w")
-        summed = weighted.select(Summarizer.metrics("mean").summary(F.col("v"), F.col("w")).alias("s"))
-        density = summed.select(vector_to_array("s.mean").alias("d")).first()["d"]
-        peaks = [
-            i
-            for i in range(grid)
-            if all(density[i] > density[j] for d in range(1, order + 1) for j in (max(i - d, 0), min(i + d, grid - 1)) if j != i)
-            and 0 < i < grid - 1
-        ]
-        rows.append((c, len(peaks), len(peaks) >= 2))
+    if not names:
+        return df.sparkSession.createDataFrame([], "feature string, peaks int, multimodal boolean")
+    wide = df.select(*[F.when(~F.isnan(col(c).cast("double")), col(c).cast("double")).alias(f"x{i}") for i, c in enumerate(names)])
+    facts = wide.agg(*[f(f"x{i}").alias(f"{k}{i}") for i in range(len(names)) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max), ("sd", F.stddev_samp))]).first()
+    specs = []
+    for i, c in enumerate(names):
+        if facts[f"n{i}"] >= 50 and facts[f"sd{i}"]:
+            n = facts[f"n{i}"]
+            specs.append((c, n, facts[f"lo{i}"], facts[f"hi{i}"], facts[f"sd{i}"] * n ** (-1.0 / 5.0)))  # Scott's rule in one dimension
+    place = {c: f"x{names.index(c)}" for c, *_ in specs}
+
+    def values(some: list[int]) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(j).alias("c"), F.col(place[specs[i][0]]).alias("x"), F.floor((F.col(place[specs[i][0]]) - specs[i][2]) / (specs[i][4] / BINS_PER_WIDTH)).alias("bin")) for j, i in enumerate(some)])
+        return wide.select(F.explode(cells).alias("v")).select("v.*").where("x IS NOT NULL")
+
+    peaks: dict[int, int] = {}
+    every = list(range(len(specs)))
+    if every:
+        bins = values(every).groupBy("c", "bin").agg(F.avg("x").alias("x"), F.count("*").cast("double").alias("w"))
+        for i, (density, error) in enumerate(zip(*_kernel_sums(bins.select("c", "x", "w"), specs, grid, True))):
+            count, sure = _peaks(density, error, order)
+            if sure:
+                peaks[i] = count
+    close = [i for i in every if i not in peaks]
+    if close:
+        exact = values(close).groupBy("c", "x").agg(F.count("*").cast("double").alias("w"))
+        for i, (density, error) in zip(close, zip(*_kernel_sums(exact.select("c", "x", "w"), [specs[i] for i in close], grid, False))):
+            peaks[i] = _peaks(density, error, order)[0]
+    rows = [(specs[i][0], peaks[i], peaks[i] >= 2) for i in every]
     return df.sparkSession.createDataFrame(rows, "feature string, peaks int, multimodal boolean")
 
 
+def _peaks(density: np.ndarray, error: np.ndarray, order: int) -> tuple[int, bool]:
+    """Inner grid points above all others within ``order``, and whether the error leaves no doubt about any."""
+    count, sure = 0, True
+    for i in range(1, len(density) - 1):
+        near = np.array([j for j in range(max(i - order, 0), min(i + order, len(density) - 1) + 1) if j != i])
+        gap, doubt = density[i] - density[near], error[i] + error[near]
+        count += bool((gap > 0).all())
+        # a neighbour that is higher for sure settles it
+        if not (gap < -doubt).any() and not ((gap > doubt) | ((doubt == 0) & (gap == 0))).all():
+            sure = False
+    return count, sure
+
+
 SEMANTIC_WORDS = ("semantic", "meaning", "topic", "theme", "intent")  # fixed values
 
 
