@@ -8,11 +8,17 @@ length and hash of the segment), probed with the few substrings that can match f
 verified with the banded bit-parallel edit distance of Hyyro.
 
 Equal lines are joined first, so that a line that is everywhere is indexed once.
+
+Lines that share a segment are compared inside blocks of bounded size, by a 64-bit sketch: the parities of hashed pairs of
+neighbouring characters. An edit changes at most four of them, so a pair whose sketches differ in more than 4 d bits is no match,
+and hardly any other pair passes. Of each line only the earliest partner that passes leaves a block, for one that matches is
+enough; lines whose earliest partner turns out wrong meet all that pass. A group of n lines with one beginning thus gives n rows
+and not n^2. Segments of which a sample shows very many lines are counted apart, so that no task gets all of one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import stored
@@ -21,6 +27,10 @@ DISTANCE = 2
 MIN_CHARS = 20
 #: Places of candidate lines (some 70 bytes each) that may be broadcast to fetch their texts; beyond it, a shuffle.
 MAX_BROADCAST_ROWS = 500_000
+#: Lines of one segment in a block.
+BLOCK = 256
+#: A segment with so many lines in this share of all lines is counted apart from others; this moves work, and results stay.
+HOT_SHARE, HOT_LINES = 1 / 128, 64
 
 
 def segment_keys(line: Column, distance: int) -> tuple[Column, Column]:
@@ -106,6 +116,62 @@ def text_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select("key", "t", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") >= min_chars)
 
 
+def sketch(line: Column) -> Column:
+    """64 parities of the hashed pairs of neighbouring characters, the first and the last paired with nothing."""
+    pairs = F.transform(F.sequence(F.lit(0), F.length(line)), lambda i: F.substring(line, i, F.when(i == 0, 1).otherwise(2)))
+    return F.aggregate(pairs, F.lit(0).cast("long"), lambda bits, p: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(p).bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+
+
+def shared_segments(distinct: DataFrame) -> DataFrame:
+    """(seg, id, own, n_index, n): keys that at least one line is indexed under and that more than one row has."""
+
+    def keys(lines: DataFrame) -> DataFrame:
+        own = F.transform("own", lambda s: F.struct(s.alias("seg"), F.lit(True).alias("own")))
+        more = F.transform("more", lambda s: F.struct(s.alias("seg"), F.lit(False).alias("own")))
+        return lines.select("id", F.explode(F.concat(own, more)).alias("k")).select("id", "k.*")
+
+    often = keys(distinct.sample(HOT_SHARE, 1)).groupBy("seg").agg(F.count("*").alias("c")).where(F.col("c") >= HOT_LINES)
+    often = stored(often.select("seg"), "line-hot-segments")
+    indexed = F.col("own").cast("long")
+    by_seg = Window.partitionBy("seg")
+    cold = keys(distinct).join(often, "seg", "left_anti").select("seg", "id", "own", F.sum(indexed).over(by_seg).alias("n_index"), F.count("*").over(by_seg).alias("n"))
+    hot = keys(distinct).join(often, "seg", "left_semi")
+    counts = hot.groupBy("seg").agg(F.sum(indexed).alias("n_index"), F.count("*").alias("n"))
+    both = cold.unionByName(hot.join(counts, "seg").select("seg", "id", "own", "n_index", "n"))
+    return both.where("n > 1 AND n_index > 0")
+
+
+def earliest_partners(members: DataFrame, distance: int) -> DataFrame:
+    """(id, id2, a, a2, since): for each line the earliest line before it that a block of one of its segments finds near by sketch.
+
+    ``members`` has seg, own, n_index, n and item: (first, id, id2, len, sketch).
+    """
+    def number(rows: str) -> Column:
+        return F.pmod(F.xxhash64("item.id"), F.ceil(F.col(rows) / BLOCK)).cast("int")
+
+    index = members.where("own").groupBy("seg", number("n_index").alias("block")).agg(F.collect_list("item").alias("xs"))
+    probe = members.groupBy("seg", number("n").alias("part"), F.ceil(F.col("n_index") / BLOCK).cast("int").alias("blocks")).agg(F.collect_list("item").alias("bs"))
+    meet = probe.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(index, ["seg", "block"])
+
+    def before(line: Column, others: str, also=None) -> Column:
+        def fits(x: Column) -> Column:
+            ok = alike(x, line, distance) & (x["first"] < line["first"])
+            return ok if also is None else ok & also(x)
+
+        return F.struct(line.alias("line"), F.array_min(F.filter(others, fits)).alias("since"))
+
+    probes = F.transform("bs", lambda b: before(b, "xs"))
+    # lines find shorter ones and those of their length, so a longer line also speaks for a shorter one that comes after it
+    indexed = F.transform("xs", lambda x: before(x, "bs", lambda b: b["len"] > x["len"]))
+    found = meet.select(F.explode(F.filter(F.concat(probes, indexed), lambda p: p["since"].isNotNull())).alias("p"))
+    earliest = found.groupBy(F.col("p.line.id").alias("id"), F.col("p.line.id2").alias("id2")).agg(F.min("p.since").alias("since"))
+    return earliest.select("id", "id2", F.col("since.id").alias("a"), F.col("since.id2").alias("a2"), F.col("since.first").alias("since"))
+
+
+def alike(x: Column, y: Column, distance: int) -> Column:
+    return (F.abs(x["len"] - y["len"]) <= distance) & (F.bit_count(x["sketch"].bitwiseXOR(y["sketch"])) <= 4 * distance)
+
+
 def removed_lines(docs: DataFrame, distance: int, min_chars: int) -> DataFrame:
     """(key, t, gone): the positions of the lines that go; docs has key, t and text."""
     here = F.struct("key", "t", "pos")
@@ -118,28 +184,34 @@ def removed_lines(docs: DataFrame, distance: int, min_chars: int) -> DataFrame:
         .agg(F.min("at").alias("first"), F.count("*").alias("n"), F.first("own").alias("own"), F.first("more").alias("more")),
         "lines",
     )
-    index = distinct.select(F.explode("own").alias("seg"), F.col("id").alias("a"))
-    probe = distinct.select(F.explode(F.concat("own", "more")).alias("seg"), F.col("id").alias("b"))
-    pairs = probe.join(index, "seg").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = stored(pairs, "line-pairs")
+    shared = stored(shared_segments(distinct), "line-segments")
 
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
+    wanted = shared.select("id").distinct()
     firsts = stored(distinct.select("id", "id2", "first").join(wanted, "id"), "line-firsts")
     places = firsts.select("id", "id2", "first", F.col("first.key").alias("k"), F.col("first.t").alias("t2"), F.col("first.pos").alias("pos2"))
     if places.count() <= MAX_BROADCAST_ROWS:
         places = F.broadcast(places)
     here_too = F.col("key").eqNullSafe(F.col("k")) & (F.col("t") == F.col("t2")) & (F.col("pos") == F.col("pos2"))
     texts = lines.join(places, here_too).select("id", "id2", "first", "line").dropDuplicates(["id", "id2"])
-    left = texts.select(F.col("id").alias("a"), F.col("id2").alias("a2"), F.col("first").alias("a_first"), F.col("line").alias("a_line"))
-    right = texts.select(F.col("id").alias("b"), F.col("id2").alias("b2"), F.col("first").alias("b_first"), F.col("line").alias("b_line"))
-    both = pairs.join(left, "a").join(right, "b").where(F.abs(F.length("a_line") - F.length("b_line")) <= distance)
-    a_longer = F.length("a_line") >= F.length("b_line")
-    longer, shorter = (F.when(c, F.col("a_line")).otherwise(F.col("b_line")) for c in (a_longer, ~a_longer))
-    near = both.where(near_lines(longer, shorter, distance))
-    earlier = near.select(
-        F.when(F.col("a_first") < F.col("b_first"), F.struct(F.col("b").alias("id"), F.col("b2").alias("id2"), F.col("a_first").alias("since"))).otherwise(F.struct(F.col("a").alias("id"), F.col("a2").alias("id2"), F.col("b_first").alias("since"))).alias("x")
-    ).select("x.*")
-    since = earlier.groupBy("id", "id2").agg(F.min("since").alias("since"))
+    texts = stored(texts.select("id", "id2", "first", "line", F.length("line").alias("len"), sketch(F.col("line")).alias("sketch")), "line-texts")
+    items = texts.select(F.col("id").alias("of"), F.struct("first", "id", "id2", "len", "sketch").alias("item"))
+    members = stored(shared.join(items, F.col("id") == F.col("of")).select("seg", "own", "n_index", "n", "item"), "line-members")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of (id, id2, a, a2, since) that are within the distance."""
+        left = texts.select("id", "id2", F.col("line").alias("x"))
+        right = texts.select(F.col("id").alias("a"), F.col("id2").alias("a2"), F.col("line").alias("y"))
+        both = pairs.join(left, ["id", "id2"]).join(right, ["a", "a2"])
+        longer, shorter = (F.when(c, F.col("x")).otherwise(F.col("y")) for c in (F.length("x") >= F.length("y"), F.length("x") < F.length("y")))
+        return both.where(near_lines(longer, shorter, distance)).select("id", "id2", "since")
+
+    first_found = stored(earliest_partners(members, distance), "line-partners")
+    sure = stored(verified(first_found), "line-near")
+    open_lines = first_found.join(sure.select("id", "id2"), ["id", "id2"], "left_anti").select(F.col("id").alias("u"), F.col("id2").alias("u2"))
+    asked = members.join(open_lines, (F.col("item.id") == F.col("u")) & (F.col("item.id2") == F.col("u2"))).select("seg", F.col("own").alias("own_u"), F.col("item").alias("line"))
+    meets = (F.col("own") | F.col("own_u")) & alike(F.col("item"), F.col("line"), distance) & (F.col("item.first") < F.col("line.first"))
+    others = members.join(asked, "seg").where(meets).select(F.col("line.id").alias("id"), F.col("line.id2").alias("id2"), F.col("item.id").alias("a"), F.col("item.id2").alias("a2"), F.col("item.first").alias("since")).distinct()
+    since = sure.unionByName(verified(others)).groupBy("id", "id2").agg(F.min("since").alias("since"))
     again = distinct.select("id", "id2", "first", "n").join(since, ["id", "id2"], "left").where("n > 1 OR since IS NOT NULL").select("id", "id2", F.coalesce("since", "first").alias("since"))
     gone = lines.select(*line_id, "key", "t", "pos").join(again, ["id", "id2"]).where(here > F.col("since"))
     return gone.groupBy("key", "t").agg(F.collect_set("pos").alias("gone"))

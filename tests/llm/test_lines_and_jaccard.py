@@ -99,6 +99,30 @@ def test_line_dedup_edges(spark, documents):
         lines.dedup_lines(documents([]), distance=2, min_chars=8)
 
 
+def test_many_lines_with_one_beginning(spark, documents):
+    """A crowded segment: only the planted copies go, also where every line is near every other."""
+    rng = random.Random(9)
+    begin = "all of these lines begin with the same forty characters: "
+    lines_ = [begin + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) for _ in range(3000)]
+    planted = [changed(rng, x, rng.choice([1, 2]), "ABC") for x in lines_[::50]]
+    rows = [(i, x) for i, x in enumerate(lines_ + planted)]
+    rows += [(10_000 + i, f"and these are within two edits of one another, {i:02d}") for i in range(100)]
+    out = {r.doc_id: r.n_removed for r in lines.dedup_lines(documents(rows).repartition(6)).collect()}
+    assert {i for i, n in out.items() if n} == {*range(3000, 3000 + len(planted)), *range(10_001, 10_100)}
+
+
+def test_sketch_bounds_edits(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(400):
+        a = "".join(rng.choice("abcé😀 ") for _ in range(rng.randint(9, 60)))
+        n = rng.randint(0, 3)
+        rows.append((a, changed(rng, a, n), n))
+    df = spark.createDataFrame(rows, "line string, other string, n int")
+    differ = F.bit_count(lines.sketch(F.col("line")).bitwiseXOR(lines.sketch(F.col("other"))))
+    assert df.where(differ > 4 * F.col("n")).count() == 0
+
+
 def shingles(text, width=5):
     words = WORD.findall(text or "")
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
