@@ -16,6 +16,7 @@ Any id can be read by its position: block = position // block_ids, then one offs
 from __future__ import annotations
 
 import functools
+import gc
 import itertools
 import os
 import re
@@ -38,7 +39,7 @@ MAGIC = b"FWTB0001"
 TAIL = struct.Struct("<IIQQQ8s")
 BLOCK_IDS = 1 << 14
 #: Words whose ids an encoder remembers before it starts anew, and characters of text that it takes at once.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 1_200_000
 BATCH_CHARS = 1 << 20
 
 
@@ -47,17 +48,31 @@ def bit_width(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
+def _lanes(width: int) -> Iterator[tuple[int, int, int]]:
+    """(id, byte, shift): where the bits of 8 consecutive ids lie in the ``width`` bytes that hold them."""
+    for k in range(8):
+        for byte in range(k * width // 8, (k * width + width - 1) // 8 + 1):
+            yield k, byte, (k + 1) * width - 8 * (byte + 1)
+
+
 def pack(ids: np.ndarray, width: int) -> bytes:
-    """Ids as consecutive groups of ``width`` bits."""
-    bits = np.unpackbits(ids.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]
-    return np.packbits(bits.reshape(-1)).tobytes()
+    """Ids as consecutive groups of ``width`` bits; 8 ids at a time fill ``width`` bytes."""
+    lanes = np.zeros((-(-len(ids) // 8), 8), np.uint32)
+    lanes.reshape(-1)[: len(ids)] = ids
+    out = np.zeros((len(lanes), width), np.uint8)
+    for k, byte, shift in _lanes(width):
+        out[:, byte] |= (lanes[:, k] >> shift if shift >= 0 else lanes[:, k] << -shift).astype(np.uint8)
+    return out.tobytes()[: -(-len(ids) * width // 8)]
 
 
 def unpack(data: bytes, n: int, width: int) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width).reshape(n, width)
-    full = np.zeros((n, 32), np.uint8)
-    full[:, 32 - width :] = bits
-    return np.packbits(full, axis=1).view(">u4").reshape(-1).astype(np.uint32)
+    rows = np.zeros((-(-n // 8), width), np.uint8)
+    rows.reshape(-1)[: len(data)] = np.frombuffer(data, np.uint8)
+    lanes = np.zeros((len(rows), 8), np.uint32)
+    for k, byte, shift in _lanes(width):
+        part = rows[:, byte].astype(np.uint32)
+        lanes[:, k] |= part << shift if shift >= 0 else part >> -shift
+    return lanes.reshape(-1)[:n] & np.uint32((1 << width) - 1)
 
 
 class Writer:
@@ -187,7 +202,11 @@ class WordEncoder:
         numbers = [np.fromiter(map(self.number.__getitem__, t.encode("utf-8", "surrogatepass").split()), np.int64) for t in texts]
         if len(self.number) > known:
             new = [w.decode("utf-8", "surrogatepass") for w in itertools.islice(reversed(self.number), len(self.number) - known)][::-1]
-            found = self._encode(new)
+            gc.disable()  # many short lists, none in a cycle
+            try:
+                found = self._encode(new)
+            finally:
+                gc.enable()
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum()))])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
