@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.llm.common import returning
+
 TOKEN = re.compile(r"\w+")
 MIN_MATCH = 5
 #: Share of an item's tokens from which a document holds the item.
@@ -212,5 +214,5 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_match:
         return keep
 
     for index in blocks_of(benchmark, min_match):
-        docs = docs.mapInArrow(filterer(docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text)), docs.schema)
+        docs = docs.mapInArrow(returning(filterer(docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text))), docs.schema)
     return docs

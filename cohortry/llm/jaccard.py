@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import WORD, partitions, stored
+from cohortry.llm.common import WORD, partitions, returning, stored
 from cohortry.llm.graph import components
 
 SHINGLE_WORDS, SIMILARITY, TARGET_RECALL = 5, 0.8, 0.995
@@ -218,7 +218,7 @@ def measure(docs: DataFrame, words: int, similarity: float, runs: int) -> DataFr
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["key", "t", "id", "id2", "n", "sketch", "paths"])
 
-    return docs.select("key", "t", "text").mapInArrow(run, "key long, t long, id long, id2 long, n long, sketch binary, paths array<long>")
+    return docs.select("key", "t", "text").mapInArrow(returning(run), "key long, t long, id long, id2 long, n long, sketch binary, paths array<long>")
 
 
 def with_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -239,7 +239,7 @@ def sets_of(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
             data = [s.tobytes() for s in found]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(d) - 2**63 if d else None for d in data], pa.int64()), pa.array(data, pa.binary())], ["id", "tokens"])
 
-    return with_texts(docs, members).mapInArrow(run, "id long, tokens binary").where("id IS NOT NULL")
+    return with_texts(docs, members).mapInArrow(returning(run), "id long, tokens binary").where("id IS NOT NULL")
 
 
 def split_again(docs: DataFrame, sets: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -342,7 +342,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
         every.where("id IS NOT NULL").groupBy("id", "id2").agg(F.min("key").alias("low"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")),
         "sets",
     )
-    clusters = components(candidate_links(slim, sets, words, similarity, small, depth))
+    # written first: two Python steps in one stage would take two workers per core, and workers stay
+    clusters = components(stored(candidate_links(slim, sets, words, similarity, small, depth), "candidate-links"))
     found = stored(exact_links(slim, sets, stored(clusters, "clusters"), words, similarity), "exact-links")
     roots = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import CharGrams, chunks
+from cohortry.llm.common import CharGrams, chunks, returning
 
 UNDETERMINED = "und"
 #: Languages beyond this number raise: the matrix on the driver is languages x buckets.
@@ -64,7 +64,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", orders: tuple
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array(n, pa.int64())], ["lang", "bucket", "n"])
 
     known = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = known.mapInArrow(returning(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     names = [r[0] for r in counts.where("bucket = -1").select("lang").limit(MAX_LANGUAGES + 1).collect()]
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -111,12 +111,15 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tup
     Only the text decides. Rows are answered one by one: repeated rows get the same answer.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(F.col(text).alias("__text"), *keep, *[c.alias(n) for n, c in (more or {}).items()])
-    fields = chosen.drop("__text").schema
+    # a text that is kept goes to the worker once
+    own = [] if text in keep else [F.col(text).alias("__text")]
+    chosen = docs.select(*own, *keep, *[c.alias(n) for n, c in (more or {}).items()])
+    fields, at = chosen.schema.fields[len(own) :], 0 if own else keep.index(text)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = score_texts(batch.column(0).to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
+            names, scores = score_texts(batch.column(at).to_pylist(), shared.value)
+            kept = batch.columns[-len(fields) :]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(f.name for f in fields), "lang_pred", "score"])
 
-    return chosen.mapInArrow(answer, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string", "score double"]))
+    return chosen.mapInArrow(returning(answer), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string", "score double"]))

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import chunks
+from cohortry.llm.common import chunks, give_back
 
 SPACE = "▁"
 # Piece types and model types of the file format.
@@ -231,6 +231,13 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path, threads)
+        try:
+            yield from coded(codec, batches)
+        finally:  # a reused worker keeps the model, and not the runs of this task
+            codec._forget()
+            give_back()
+
+    def coded(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = [n or 0 for n in pc.utf8_length(batch.column(1)).to_pylist()]
             for begin, end in chunks(lengths, BATCH_CHARS):
