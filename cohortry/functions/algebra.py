@@ -93,8 +93,9 @@ def triangular_factor(df: DataFrame, columns: list[str], fan_in: int = 16) -> np
         from pyspark import TaskContext
 
         r = fold(b.to_numpy(dtype=float) for b in batches)
-        node = TaskContext.get().partitionId()
-        yield pd.DataFrame({"node": [node] * len(r), "r": [row.tolist() for row in r]})
+        if len(r):  # a partition without rows has no factor, and Arrow cannot type an empty list column
+            node = TaskContext.get().partitionId()
+            yield pd.DataFrame({"node": [node] * len(r), "r": [row.tolist() for row in r]})
 
     def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
         r = np.linalg.qr(np.vstack(pdf["r"].to_numpy()), mode="r")

@@ -122,3 +122,10 @@ def test_hot_medians_close_in_on_a_heavy_tail(spark, monkeypatch):
     rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("tail", None)]
     got = {r["g"]: r["m"] for r in quantiles.group_medians(spark.createDataFrame(rows, "g string, v double"), ["g"], {"m": "v"}, hot_rows=100).collect()}
     assert got == {g: pytest.approx(float(np.median(v)), abs=1e-12) for g, v in groups.items()}
+
+
+def test_triangular_factor_passes_over_empty_partitions(spark):
+    df = spark.range(5).select((F.col("id") * 1.0).alias("a"), (F.col("id") * F.col("id") * 1.0).alias("b"), (F.col("id") * 2.0).alias("c")).coalesce(1)
+    holed = df.unionByName(df.where("a < 0"))  # its second partition has no rows
+    assert dependent_columns(triangular_factor(holed, ["a", "b", "c"]), ["a", "b", "c"]) == ["a"]
+    assert triangular_factor(df.where("a < 0"), ["a", "b", "c"]).shape == (0, 3)
