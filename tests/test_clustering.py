@@ -1,6 +1,7 @@
 """Algorithms on blobs and against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
@@ -262,3 +263,23 @@ def test_a_crowded_cell_spreads_over_tasks(spark, monkeypatch):
     pairs = density._touching(density._chunked(density._grid(df, 1.0, 2), []), half=False)
     per_task = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
     assert len(per_task) == 8 and max(per_task) < sum(per_task) / 3
+
+
+def test_blocks_move_in_proportion_to_the_tables(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 5)
+    df = spark.range(1_000).select("id", F.array(F.col("id").cast("double")).alias("features"))
+    out = blocks.block_pairs(
+        df, df.select("id", "features"), lambda p, o, state: (state or 0) + len(p["id"]) * len(o["id"]), lambda p, state: pd.DataFrame({"pairs": [state], "n": [len(p["id"])]}), "pairs long, n long"
+    )
+    rows = out.collect()
+    assert sum(r["pairs"] for r in rows) == 1_000_000
+    assert sum(r["n"] for r in rows) == 1_000  # one result per point, not one per point and block of the other side
+    groups, slices = blocks._grid(1_000, 1_000, 500, 12)
+    assert groups * 1_000 + slices * 1_000 <= 37_000  # blocks that are moved; a million pairs of blocks before
+
+
+def test_equally_far_neighbours_go_by_class(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 4)
+    train = spark.createDataFrame([(i, Vectors.dense([1.0 if i % 2 else -1.0]), float(i % 5)) for i in range(40)], schema_of())
+    test = spark.createDataFrame([(0, Vectors.dense([0.0]), 0.0)], schema_of())
+    assert nearest_neighbour_votes(train, test, k=7).first()["pred"] == 0.0  # eight of class 0 are as near as all others
