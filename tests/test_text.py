@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -116,3 +117,23 @@ def test_views_stay_blind(spark):
     assert "MARKER" not in str(profiles.statistical_view(prof, people).collect())
     view = profiles.business_view(people)
     assert view.columns == ["name", "description"] and all(len(r["description"]) <= 200 for r in view.collect())
+
+
+def test_texts_are_cut_into_words_once_and_moved_once(spark):
+    df = spark.createDataFrame([(1, "red cat sat red"), (2, "blue cat sat"), (3, None)], "id int, t string")
+    long, _, _ = text.term_weights(df, "id", "t", stop_words=[], ngrams=1, min_df=1)
+    assert {(r["id"], r["term"], r["tf"]) for r in long.collect()} == {(1, "red", 2), (1, "cat", 1), (1, "sat", 1), (2, "blue", 1), (2, "cat", 1), (2, "sat", 1)}
+    plan = long._jdf.queryExecution().toString()
+    cached = plan[plan.rindex("== Physical Plan ==") :]
+    assert not [line for line in cached.splitlines() if "Filter" in line and "regexp_extract_all" in line]
+    assert "hashpartitioning(id#" in cached and not re.search(r"hashpartitioning\(id#\d+L?, term#", cached)
+
+
+def test_an_encoder_needs_no_term_rows(spark, monkeypatch):
+    asked = []
+    made = text.tfidf
+    monkeypatch.setattr(text, "tfidf", lambda *a, **k: asked.append(1) or made(*a, **k))
+    df = spark.createDataFrame([(i, f"word{i % 5} and more words") for i in range(25)], "id int, t string")
+    done = text.prepare_text(df, "id", ["t"], method="transformer", load_encoder=lambda: lambda texts: [[float(len(t))] for t in texts])
+    assert done.vectors.count() == 25 and not asked
+    assert done.corpus.n_docs == 25 and done.corpus.n_docs == 25 and asked == [1]
