@@ -137,3 +137,27 @@ def test_an_encoder_needs_no_term_rows(spark, monkeypatch):
     done = text.prepare_text(df, "id", ["t"], method="transformer", load_encoder=lambda: lambda texts: [[float(len(t))] for t in texts])
     assert done.vectors.count() == 25 and not asked
     assert done.corpus.n_docs == 25 and done.corpus.n_docs == 25 and asked == [1]
+
+
+def test_similar_texts_move_no_pairs(spark, monkeypatch):
+    """Pairs are found inside tasks, for any number of groups: neither they nor their terms are joined."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(words, 30)) + f" only{i}") for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    results = []
+    for held in (10_000_000, 700):
+        monkeypatch.setattr(naming, "GROUP_TERMS", held)
+        monkeypatch.setattr(naming, "SMALL_TERMS", 10_000_000)
+        found = naming.similar_texts(df, "id", "t", 0.4, [])
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        results.append({(r["a"], r["b"]): round(r["cosine"], 9) for r in found.collect()})
+    tf = np.array([[t.split().count(w) for w in words] for _, t in rows], dtype=float)
+    idf = np.log(121 / (1 + (tf > 0).sum(axis=0))) + 1
+    own = np.log(121 / 2) + 1
+    x = tf * idf
+    norm = np.sqrt((x * x).sum(axis=1) + own * own)
+    cos = (x / norm[:, None]) @ (x / norm[:, None]).T
+    want = {(i, j): round(float(cos[i, j]), 9) for i in range(120) for j in range(i + 1, 120) if cos[i, j] > 0.4}
+    assert len(want) > 50 and results[0].keys() == results[1].keys() == want.keys()
+    assert all(abs(results[0][p] - c) < 1e-8 and abs(results[1][p] - c) < 1e-8 for p, c in want.items())
