@@ -283,3 +283,18 @@ def test_equally_far_neighbours_go_by_class(spark, monkeypatch):
     train = spark.createDataFrame([(i, Vectors.dense([1.0 if i % 2 else -1.0]), float(i % 5)) for i in range(40)], schema_of())
     test = spark.createDataFrame([(0, Vectors.dense([0.0]), 0.0)], schema_of())
     assert nearest_neighbour_votes(train, test, k=7).first()["pred"] == 0.0  # eight of class 0 are as near as all others
+
+
+def test_tasks_of_dbscan_hold_a_bounded_number_of_packed_pairs(spark, monkeypatch):
+    from cohortry.operators.clustering import density
+
+    monkeypatch.setattr(density, "CHUNK", 16)
+    monkeypatch.setattr(density, "PAIRS_PER_TASK", 8)
+    x = np.random.default_rng(1).uniform(0, 4, (600, 2))
+    vectors = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(x)], "id long, features array<double>")
+    pairs = density._touching(density._chunked(density._grid(vectors, 0.3, 2), []), half=False)
+    assert pairs.rdd.getNumPartitions() * 8 >= pairs.count() > 200
+    assert dict(pairs.dtypes)["lp_x"] == "binary"
+    got = {r["rep"]: r["neighbours"] for r in density.neighbour_counts(vectors, 0.3, 5).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert got == {i: int(n) for i, n in enumerate((d <= 0.3).sum(axis=1))}
