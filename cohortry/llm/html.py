@@ -69,6 +69,11 @@ def _place(tag: str, more: str, in_main: bool) -> tuple[bool, bool, bool]:
     return outside or hidden, inside and not outside, outside and soft
 
 
+def _tail(rest: str) -> str:
+    """What follows the last token, up to markup that is cut off."""
+    return rest[: rest.index("<")] if re.search(r"<[a-z/!]", rest, re.I) and "<" in rest else rest
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; scripts, styles, comments and markup are gone, white space is one space."""
     found: list[Block] = []
@@ -130,8 +135,39 @@ def blocks(page: str) -> list[Block]:
                     n_in += inside
                     n_soft += soft
     if at < len(page):
-        rest = page[at:]
-        say(rest[: rest.index("<")] if re.search(r"<[a-z/!]", rest, re.I) and "<" in rest else rest)
+        say(_tail(page[at:]))
+    flush()
+    return found
+
+
+def texts(page: str) -> list[str]:
+    """The text of each of the page's blocks, without what tells main text from the rest."""
+    found: list[str] = []
+    pieces: list[str] = []
+    at = 0
+
+    def flush() -> None:
+        text = "".join(pieces)
+        pieces.clear()
+        text = " ".join((entities.unescape(text) if "&" in text else text).split())
+        if text:
+            found.append(text)
+
+    for m in TOKEN.finditer(page):
+        start, end = m.span()
+        if start > at:
+            pieces.append(page[at:start])
+        at = end
+        tag = m["tag"]
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if tag == "br":
+            pieces.append(" ")
+        elif pieces and tag in BLOCK:
+            flush()
+    if at < len(page):
+        pieces.append(_tail(page[at:]))
     flush()
     return found
 

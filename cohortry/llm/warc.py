@@ -7,7 +7,6 @@ WARC-Refers-To, and the conversion names its metadata record in WARC-Concurrent-
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import html as entities
 import json
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import new_folder, stored
-from cohortry.llm.html import blocks
+from cohortry.llm.html import texts
 
 VERSION = "WARC/1.1"
 #: A new file is begun after so many bytes of records, before compression.
@@ -36,8 +35,25 @@ TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
 CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
 
+#: An address, and a reference to one, that joining changes in nothing but the host: no dots alone between slashes, no empty parts.
+PLAIN_HOST = re.compile(r"https?://[A-Za-z0-9.-]+(?=/|\Z)")
+PLAIN_PATH = re.compile(r"(https?://[A-Za-z0-9.-]+)?(?:/[A-Za-z0-9_-]+(?:\.[a-z]+)?)+/?(?:\?[A-Za-z0-9_=&-]+)?(?:#[A-Za-z0-9_-]+)?")
+PAIRS = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+SHIFTS = range(150, -1, -10)
+
+
 def digest(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    """The SHA-1 in base 32, ten bits at a time."""
+    n = int.from_bytes(hashlib.sha1(data).digest())
+    return "sha1:" + "".join([PAIRS[n >> s & 1023] for s in SHIFTS])
+
+
+def joined(target: str, host: str | None, href: str) -> str:
+    """``urljoin``, without its parsing for plain references; ``host`` is the target's scheme and host if these are plain."""
+    plain = PLAIN_PATH.fullmatch(href) if host else None
+    if plain is None:
+        return urljoin(target, href)
+    return href if plain[1] else host + href
 
 
 def record_id(*parts) -> str:
@@ -158,11 +174,13 @@ def derivatives(fields: dict[str, str], block: bytes) -> tuple[bytes, bytes, int
     source, target = fields["WARC-Record-ID"], fields.get("WARC-Target-URI", "")
     page = payload.decode("utf-8", "surrogatepass")
     title = TITLE.search(page)
-    links = []
+    links, plain = [], PLAIN_HOST.match(target)
+    host = plain[0] if plain else None
     for href in HREF.findall(page):
-        href = entities.unescape(href.strip("\"'"))
+        href = href.strip("\"'")
+        href = entities.unescape(href) if "&" in href else href
         try:
-            links.append(urljoin(target, href))
+            links.append(joined(target, host, href))
         except ValueError:  # an address that cannot be parsed is kept as it stands
             links.append(href)
     found = {
@@ -175,7 +193,7 @@ def derivatives(fields: dict[str, str], block: bytes) -> tuple[bytes, bytes, int
         "Links": links,
     }
     body = json.dumps(found, ensure_ascii=False, sort_keys=True).encode("utf-8", "surrogatepass")
-    text = "\n".join(b.text for b in blocks(page)).encode("utf-8", "surrogatepass")
+    text = "\n".join(texts(page)).encode("utf-8", "surrogatepass")
     linked = [("WARC-Date", fields["WARC-Date"]), ("WARC-Target-URI", target), ("WARC-Refers-To", source), ("WARC-Refers-To-Date", fields["WARC-Date"])]
     linked += [(f"X-Source-{k.removeprefix('WARC-')}", fields[k]) for k in ("WARC-Payload-Digest", "WARC-Block-Digest") if k in fields]
     linked += [("X-Source-Key", fields["X-Source-Key"])] if "X-Source-Key" in fields else []
