@@ -161,11 +161,14 @@ def texts(page: str) -> list[str]:
         tag = m["tag"]
         if tag is None:
             continue
-        tag = tag.lower()
-        if tag == "br":
+        kind = tag if tag in BLOCK else tag.lower()  # names are mostly written small
+        if kind == "br":
             pieces.append(" ")
-        elif pieces and tag in BLOCK:
-            flush()
+        elif pieces and kind in BLOCK:
+            if len(pieces) == 1 and pieces[0].isspace():
+                pieces.clear()
+            else:
+                flush()
     if at < len(page):
         pieces.append(_tail(page[at:]))
     flush()

@@ -37,7 +37,7 @@ CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
 #: An address, and a reference to one, that joining changes in nothing but the host: no dots alone between slashes, no empty parts.
 PLAIN_HOST = re.compile(r"https?://[A-Za-z0-9.-]+(?=/|\Z)")
-PLAIN_PATH = re.compile(r"(https?://[A-Za-z0-9.-]+)?(?:/[A-Za-z0-9_-]+(?:\.[a-z]+)?)+/?(?:\?[A-Za-z0-9_=&-]+)?(?:#[A-Za-z0-9_-]+)?")
+PLAIN_PATH = re.compile(r"(https?://[A-Za-z0-9.-]+)?(?:/[\w,-][\w.,-]*)+/?(?:\?[A-Za-z0-9_=&-]+)?(?:#[A-Za-z0-9_-]+)?")
 PAIRS = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
 SHIFTS = range(150, -1, -10)
 
