@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from cohortry.operators import metrics
+from cohortry.operators import boosting, metrics
 from cohortry.operators.clustering import fuzzy, sweep
 
 
@@ -73,3 +73,28 @@ def test_ties_and_strips_of_nearest_centres():
         assert (total[:, 2] == np.bincount(own, minlength=k)).all()
         assert np.allclose(total[:, :2], np.stack([np.bincount(own, x[:, i], k) for i in range(2)], axis=1))
         assert abs(total[:, 3].sum() - plain.min(axis=1).sum()) < 1e-9
+
+
+def test_boosted_folds_take_no_job_for_each_tree(spark, monkeypatch):
+    """Each fold is grown in a task of its own while it fits; its margins are those of levels shared by all folds."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 3)).round(1)
+    y = (x[:, 0] > 0).astype(int) + (x[:, 1] > 0.5)
+    rows = spark.createDataFrame([(i, x[i].tolist(), int(y[i]), i % 3) for i in range(400)], "id long, x array<double>, y int, fold int").repartition(3).persist()
+    rows.count()
+
+    def fitted(trees):
+        group = f"by-fold-{trees}-{boosting.FOLD_BYTES}"
+        spark.sparkContext.setJobGroup(group, group)
+        state, done = boosting.fit(rows, 3, 3, boosting.Boosting(trees=trees, depth=3))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setJobGroup("", "")
+        got = {i: m for ids, *_, margins in state.collect() for i, m in zip(ids, margins)}
+        return np.stack([got[i] for i in range(400)]), done, jobs
+
+    few, many = fitted(2), fitted(6)
+    assert many[2] <= few[2]
+    monkeypatch.setattr(boosting, "FOLD_BYTES", 0)
+    shared = fitted(6)
+    assert np.allclose(many[0], shared[0], atol=1e-9) and np.allclose(many[1].gains, shared[1].gains)
+    assert len(many[1].rounds) == 6 and shared[2] > many[2]
